@@ -99,8 +99,6 @@ class Block:
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "blocks") -> DataFrame:
     """Writes docs (doc_id, text) as blocks.  A null text counts as empty; a null doc_id can't be kept."""
-    from pyspark import TaskContext
-
     def pack(batches):
         from pyspark import TaskContext
 
@@ -135,7 +133,6 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "bloc
         if ids:
             yield out()
 
-    _ = TaskContext
     two = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     return stored(two.mapInArrow(pack, BLOCKS), name)
 

@@ -50,7 +50,8 @@ class Windows:
         used = np.zeros(len(g), bool)
         used[self.place[self.valid]] = True
         at = np.flatnonzero(used)
-        self.anchors, self.of = np.unique(g[at], return_inverse=True)  # of: an anchor's number, by its place in at
+        # mixed again: anchors are small hashes, and the leading bits choose the bucket
+        self.anchors, self.of = np.unique(B.mixed(g[at]), return_inverse=True)  # of: an anchor's number, by its place in at
         self.number = np.zeros(len(g), np.int64)
         self.number[at] = self.of
         docs = block.ids[self.row[at]]

@@ -111,7 +111,6 @@ class Strings:
         b = self.block
         keep = b.ends - b.starts >= self.width
         cut = np.unique(np.concatenate((cut, b.starts[keep], b.ends[keep])))
-        row = np.searchsorted(b.ends, cut, side="right")
         starts, ends, rows = [], [], []
         for i in np.flatnonzero(keep).tolist():
             lo, hi = np.searchsorted(cut, (b.starts[i], b.ends[i]))
@@ -119,7 +118,6 @@ class Strings:
             starts.append(c[:-2] if len(c) > 2 else c[:1])
             ends.append(c[2:] if len(c) > 2 else c[-1:])
             rows.append(np.full(len(starts[-1]), i))
-        _ = row
         none = np.zeros(0, np.int64)
         return tuple(np.concatenate(x) if x else none for x in (starts, ends, rows))
 
@@ -156,7 +154,8 @@ class Strings:
         used = np.zeros(len(self.g), bool)
         used[place] = True
         spots = np.flatnonzero(used)
-        anchors, of, n = np.unique(self.g[spots], return_inverse=True, return_counts=True)
+        # mixed again: anchors are small hashes, and the leading bits choose the bucket
+        anchors, of, n = np.unique(B.mixed(self.g[spots]), return_inverse=True, return_counts=True)
         number = np.zeros(len(self.g), np.int32)
         number[spots] = of
         return anchors, n, at, place, number[place]
