@@ -6,17 +6,18 @@
    samples, the XOR of their bitmaps has about (1 - J) * 2 * samples flips, so
    its population count tells J, most precisely when J is high.
 2. Documents with equal sets are one class; its smallest doc_id represents it.
-3. Representatives with an equal band meet, but only as a star: those that are in
-   another component than a centre are paired with it, never all with all.
+3. Representatives with an equal band meet: all pairs in a group of at most SMALL
+   members, in a larger one only a star of each member and CENTRES centres.
    Pairs whose sketches say that J is well below the threshold go; the rest
-   is confirmed on full sets.
-4. Confirmed links join components, and the stars are drawn again with further
-   centres, until each member of each band group was a centre or all members are in
-   one component.  So no pair that shares a band is left out but those whose
-   ends are already joined.
+   is confirmed on full sets, and confirmed links give components.
+4. In large groups that are still in several components, each member outside the
+   largest one meets all members of other components, by sketches, in tiles of bounded
+   size; what the sketches allow is confirmed too.  So no pair that shares a band is
+   left out but those whose ends are already joined.
 
 With 5 rows and 28 bands a pair at J = 0.85 shares no band with probability
-7e-8, at 0.8 with 1.5e-5; the sketch's slack is six standard deviations.
+7e-8, at 0.8 with 1.5e-5.
+The sketch's slack is four standard deviations of the sample and four of the count.
 
 Null or empty text has an empty set and is linked with nothing; fewer words than
 a shingle make one shingle; rows with equal doc_id count as one document with
@@ -37,7 +38,9 @@ from . import blocks as B
 WORDS, PERCENT = 3, 85  # the contract's; other uses take five words and 80
 ROWS, BANDS = 5, 28
 SKETCH_BITS = 1024
-CENTRES = 8  # of a band group, in each round
+CENTRES = 3  # of a large band group
+SMALL = 24  # members of a band group up to which all are paired
+TILE = 1024  # queries and targets compared at once
 PART_BYTES = 1 << 20
 SIGNATURE = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
 
@@ -92,11 +95,11 @@ def signatures(h: np.ndarray, counts: np.ndarray, rows: int, bands: int) -> tupl
 
 
 def most_flips(percent: int, samples: int) -> int:
-    """The largest XOR population count that a pair at the threshold shows, but for six standard deviations."""
+    """The largest XOR population count that a pair at the threshold shows, but for four standard deviations of the samples and four of the count."""
     j = percent / 100
-    differ = samples * (1 - j) + 6 * (samples * j * (1 - j)) ** 0.5
+    differ = samples * (1 - j) + 4 * (samples * j * (1 - j)) ** 0.5
     p = (1 - (1 - 2 / SKETCH_BITS) ** (2 * min(differ, samples))) / 2
-    return int(np.ceil(SKETCH_BITS * p + 6 * (SKETCH_BITS * p * (1 - p)) ** 0.5))
+    return int(np.ceil(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5))
 
 
 def text_groups(batches, most: int):
@@ -208,7 +211,69 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int, samples: int) ->
     return one.mapInArrow(sift, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, centres: int = CENTRES) -> DataFrame:
+def likely_apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, samples: int) -> DataFrame:
+    """Pairs of members of one group, in different components, whose sketches allow that similarity.
+
+    A group's queries are its members outside the largest component, its targets
+    are all; both are dealt out to tiles, so that a group of any size is spread.
+    """
+    named = members.join(labels, "id")
+    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    group = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
+    group = group.filter("parts > 1").select("band", "major", F.ceil((F.col("n") - F.col("top")) / TILE).cast("int").alias("chunks"), F.ceil(F.col("n") / TILE).cast("int").alias("slices"))
+    rows = named.join(group, "band").join(sketches.select("id", "n_shingles", "sketch").hint("merge"), "id")
+    hashed = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    up_to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    columns = ["id", "component", "n_shingles", "sketch"]
+    queries = rows.filter("component <> major").select("band", hashed("chunks").alias("c"), up_to("slices").alias("s"), F.lit(True).alias("asks"), *columns)
+    targets = rows.select("band", up_to("chunks").alias("c"), hashed("slices").alias("s"), F.lit(False).alias("asks"), *columns)
+    keys = ["band", "c", "s"]
+    dealt = queries.unionByName(targets).repartition(*keys).sortWithinPartitions(*keys)
+    limit = most_flips(percent, samples)
+
+    def compare(batches):
+        held = None
+
+        def pairs_of(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+            key = np.stack([t.column(k).to_numpy() for k in keys])
+            edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if t.num_rows else np.zeros(0, int)
+            ids, comp, size, asks = (t.column(k).to_numpy() for k in ("id", "component", "n_shingles", "asks"))
+            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            out = []
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), t.num_rows], strict=True):
+                q, g = np.flatnonzero(asks[i:j]) + i, np.flatnonzero(~asks[i:j]) + i
+                for k in range(0, len(q), 64):
+                    m = q[k : k + 64]
+                    low, high = np.minimum(size[m][:, None], size[g]), np.maximum(size[m][:, None], size[g])
+                    a, b = np.nonzero((comp[m][:, None] != comp[g]) & (low * 100 >= high * percent))
+                    a, b = m[a], g[b]
+                    near = np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1) <= limit
+                    out.append((np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]))
+            return out
+
+        def rows_of(found):
+            if found:
+                a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
+                continue
+            # the last tile may go on in the next batch
+            key = np.stack([t.column(k).to_numpy() for k in keys])
+            same = (key == key[:, -1:]).all(axis=0)
+            start = int(np.argmax(same)) if same.any() else t.num_rows
+            yield from rows_of(pairs_of(t.slice(0, start)) if start else [])
+            held = t.slice(start)
+        if held is not None and held.num_rows:
+            yield from rows_of(pairs_of(held))
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, centres: int = CENTRES, small: int = SMALL) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, class_id (the smallest document with an equal set)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     sigs = B.stored(signed(docs, words, rows, bands), "signatures")
@@ -220,31 +285,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     reps = full.join(classes, full.doc_id == classes.id, "left_semi").withColumnRenamed("doc_id", "id")
     reps = B.stored(reps.select("id", "n_shingles", "bands", "sketch"), "representatives")
     grouped = reps.select("id", F.explode("bands").alias("band"))
-    big = grouped.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = B.stored(grouped.join(big, "band", "left_semi"), "members")
+    big = grouped.groupBy("band").agg(F.count("*").alias("n"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in range(centres)]).filter("n > 1")
+    members = B.stored(grouped.join(big, "band"), "members")
     nodes = members.select("id").distinct()
-    labels = nodes.select("id", F.col("id").alias("component"))
-    links, past = None, None
-    while True:
-        named = members.join(labels, "id")
-        # a group whose members are all in one component needs no more pairs
-        open_ = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        left = B.stored(named.join(open_, "band", "left_semi"), "open")
-        free = left if past is None else left.join(past, ["band", "id"], "left_anti")
-        # the smallest members that were no centres yet; each map task sends few of them for a group
-        first = free.groupBy("band").agg(F.min("id").alias("c0"), F.min(F.struct(F.xxhash64("id", F.lit(1)).alias("h"), "id"))["id"].alias("c1"), *[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"c{k}") for k in range(2, centres)])
-        chosen = first.select("band", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(centres)]))).alias("c"))
-        chosen = B.stored(chosen, "centres")
-        if chosen.isEmpty():
-            break
-        hub = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-        stars = left.join(chosen.join(hub, "c").hint("merge"), "band").filter("component <> cc")
-        pairs = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        found = B.stored(confirmed(B.stored(likely(pairs, reps, percent, rows * bands), "likely"), docs, words, percent), "found")
-        past = chosen.select("band", F.col("c").alias("id")) if past is None else B.stored(past.union(chosen.select("band", F.col("c").alias("id"))), "past")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links, nodes)
+    few = members.filter(F.col("n") <= small).select("band", "id")
+    pairs = few.join(few.toDF("band", "other").hint("merge"), "band").filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    many = members.filter(F.col("n") > small)
+    stars = many.select("id", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(centres)]))).alias("c")).filter("id <> c")
+    pairs = pairs.union(stars.select(F.least("id", "c"), F.greatest("id", "c"))).distinct()
+    links = B.stored(confirmed(B.stored(likely(pairs, reps, percent, rows * bands), "likely"), docs, words, percent), "links")
+    labels = components(links, nodes)
+    apart = B.stored(likely_apart(many.select("band", "id"), labels, reps, percent, rows * bands), "apart")
+    if not apart.isEmpty():
+        more = B.stored(confirmed(apart, docs, words, percent), "links")
+        labels = components(links.union(more), nodes)
     classed = sigs.join(classes, ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = classed.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "class_id")).alias("kept"), "class_id")
