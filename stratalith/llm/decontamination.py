@@ -2,11 +2,11 @@
 
 Benchmark items come to the driver in blocks of at most ITEM_BYTES of text, one
 at a time, and each block is broadcast, so memory is bounded whatever the
-benchmark's size.  For a block, one pass over the documents counts how many of
-them have each of the items' n-grams; an item's seeds are the rarer half of its
-n-grams, so that an item copied everywhere still has seeds.  A second pass finds
-the seeds in documents, groups hits of one item that lie close together, and aligns
-the words around a group of two or more with the item.  A copy is found if its
+benchmark's size.  For a block, one pass over the documents notes where the items'
+n-grams are; from that comes how many documents have each; an item's seeds are
+the rarer half of its n-grams, so that an item copied everywhere still has seeds.
+Documents with seeds close together are read again: hits of one item are grouped
+by place, and the words around a group of two or more are aligned with the item.  A copy is found if its
 alignment score reaches LEAST of the best possible one for min(words, LONG) words.
 
 Words are compared without case and outer punctuation; tokens of punctuation
@@ -32,6 +32,7 @@ SEED, LEAST, LONG = 3, 0.5, 30
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEM_BYTES = 2 << 20
 PART_BYTES = 1 << 20
+BITMAP = 22
 EDGES = ".,!?;:%*$#&|\"'()[]<>-_~^/\\=+{}`…«»“”‘’–—"
 RESULT = "doc_id long, item_id long, similarity double, start_word long, end_word long"
 
@@ -70,6 +71,11 @@ class Items:
         # one- and two-word items: their whole sequence
         self.short = [k for k, x in enumerate(self.words) if len(x) < SEED]
 
+    def lengths(self) -> tuple[int, int]:
+        """Words of the shortest and of the longest item."""
+        n = [len(x) for x in self.words]
+        return (min(n), max(n)) if n else (0, 0)
+
     def choose(self, frequency: dict[int, int]) -> None:
         """Keeps each item's rarer half as seeds; frequency: documents by n-gram."""
         n = np.array([frequency.get(k, 0) for k in self.keys.tolist()], np.int64)
@@ -139,7 +145,14 @@ def found_at(keys: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Which of the values g are among the sorted keys."""
     if not len(keys):
         return np.zeros(len(g), bool)
-    return keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
+    # a bitmap of leading bits rules most of them out
+    shift = np.uint64(64 - BITMAP)
+    bitmap = np.zeros(1 << BITMAP, bool)
+    bitmap[(keys >> shift).astype(np.int64)] = True
+    out = bitmap[(g >> shift).astype(np.int64)]
+    at = np.flatnonzero(out)
+    out[at] = keys[np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)] == g[at]
+    return out
 
 
 def leaks(docs: DataFrame, bench: DataFrame, least: float = LEAST, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -156,21 +169,39 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     every = sc.broadcast(np.unique(items.keys))
 
-    def count(batches):
+    def find(batches):
         keys = every.value
-        total = np.zeros(len(keys), np.int64)
-        for _, x, row, _ in plain_words(batches):
+        for ids, x, row, _ in plain_words(batches):
             g = B.grams(x, SEED)
-            ok = (row[: len(g)] == row[SEED - 1 : SEED - 1 + len(g)]) & found_at(keys, g)
-            at = np.unique(row[: len(g)][ok] * np.int64(len(keys)) + np.searchsorted(keys, g[ok]))
-            total += np.bincount(at % len(keys) if len(at) else at, minlength=len(keys))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["gram", "n"])
-
-    # as many rows as the block of items has n-grams, at most
-    counted = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+            at = np.flatnonzero(found_at(keys, g))
+            at = at[row[at] == row[at + SEED - 1]]
+            docs_hit, start = np.unique(row[at], return_index=True)
+            if len(at):
+                offsets = pa.array(np.append(start, len(at)), pa.int32())
+                grams, places = (pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (np.searchsorted(keys, g[at]), at))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in docs_hit.tolist()], pa.int64()), grams, places], names=["doc_id", "grams", "places"])
+
+    hits = B.stored(docs.mapInArrow(find, "doc_id long, grams array<long>, places array<long>"), "seed-hits")
     keys = every.value
+    # as many rows as the block of items has n-grams, at most
+    counted = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()
     items.choose({int(keys[r["gram"]]): r["n"] for r in counted})
+    seeds = sc.broadcast(np.isin(keys, items.keys))
+    shortest, longest = items.lengths()
+
+    def worth(batches):
+        """Documents in which two seeds of one item, or one of a short item, lie close together; every document if there are items shorter than a seed."""
+        keep = seeds.value
+        for batch in batches:
+            yes = []
+            for grams, places in zip(batch.column(1), batch.column(2), strict=True):
+                g, p = grams.values.to_numpy(), places.values.to_numpy()
+                p = p[keep[g]]
+                yes.append(len(p) > 1 and bool((np.diff(p) <= longest).any()) or len(p) > 0 and shortest < 8)
+            yield batch.filter(pa.array(yes, pa.bool_())).select(["doc_id"])
+
+    if not items.short:
+        docs = docs.join(hits.mapInArrow(worth, "doc_id long").distinct(), "doc_id", "left_semi")
     shared = sc.broadcast(items)
 
     def search(batches):
@@ -196,7 +227,7 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:])
             firsts = np.flatnonzero(new).tolist()
             edge = np.searchsorted(row, np.arange(len(ids) + 1))
-            for s, e in zip(firsts, [*firsts[1:], len(pos)], strict=True):
+            for s, e in zip(firsts, [*firsts[1:], len(pos)] if firsts else [], strict=True):
                 k, d = int(item[s]), int(doc[s])
                 words = b.words[k]
                 if e - s < 2 and len(words) >= 8 or len(np.unique(q[s:e])) < min(2, len(words) - SEED + 1):
