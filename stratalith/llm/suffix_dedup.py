@@ -226,20 +226,42 @@ def judge_anchors(blobs: list[bytes], _) -> list[bytes]:
 
 def context_judge(width: int):
     def judge(blobs: list[bytes], _) -> list[bytes]:
-        lens, docs, texts, counts = [], [], [], []
+        lens, docs, spots, texts, counts = [], [], [], [], []
         for x in blobs:
-            a, b, c = B.parted(x, 3)
-            lens.append(np.frombuffer(a, np.uint16).astype(np.int64))
+            a, b, c, d = B.parted(x, 4)
+            n = np.frombuffer(a, np.uint16).astype(np.int64)
+            raw = zstandard.ZstdDecompressor().decompress(c)
+            ends = np.cumsum(n)
+            texts += [raw[i:j] for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+            lens.append(n)
             docs.append(np.frombuffer(b, np.int64))
-            texts.append(zstandard.ZstdDecompressor().decompress(c))
-            counts.append(int((lens[-1] - width + 1).sum()))
-        n, d = np.concatenate(lens), np.concatenate(docs)
-        starts = np.cumsum(n) - n
-        strings = n - width + 1
-        at = np.repeat(starts - (np.cumsum(strings) - strings), strings) + np.arange(int(strings.sum()))
-        rank = suffix_ranks(b"".join(texts), width)[at]
-        hit = previous_factor_reaches(rank, np.repeat(d, strings)).view(np.uint8)
-        return [B.answer(x) for x in np.split(hit, np.cumsum(counts)[:-1])]
+            spots.append(np.frombuffer(d, np.uint8))
+            counts.append(int((n - width + 1).sum()))
+        n, d, spot = (np.concatenate(v) for v in (lens, docs, spots))
+        # equal contexts count once, for their first document
+        number: dict[bytes, int] = {}
+        of = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+        first = np.full(len(number), 2**63 - 1)
+        np.minimum.at(first, of, d)
+        one = np.full(len(number), 0)
+        one[of] = np.arange(len(of))
+        # only contexts that share an anchor with another text can match in part
+        anchors: dict[bytes, int] = {}
+        mine = np.fromiter((anchors.setdefault(texts[i][s : s + GRAM], len(anchors)) for i, s in zip(one.tolist(), spot[one].tolist(), strict=True)), np.int64, len(one))
+        open_ = np.flatnonzero(np.bincount(mine, minlength=len(anchors))[mine] > 1) if len(one) else one
+        strings = n[one] - width + 1
+        begin = np.cumsum(strings) - strings
+        partial = np.zeros(int(strings.sum()), bool)
+        if len(open_):
+            m = n[one][open_]
+            k = m - width + 1
+            at = np.repeat(np.cumsum(m) - m - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            rank = suffix_ranks(b"".join(texts[i] for i in one[open_].tolist()), width)[at]
+            hit = previous_factor_reaches(rank, np.repeat(first[open_], k))
+            partial[np.repeat(begin[open_] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))] = hit
+        k = n - width + 1
+        flags = partial[np.repeat(begin[of] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))] | np.repeat(d > first[of], k)
+        return [B.answer(x) for x in np.split(flags.view(np.uint8), np.cumsum(counts)[:-1])]
 
     return judge
 
@@ -275,7 +297,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> Dat
                 while j < len(keys) and keys[j][0][0] == keys[i][0][0]:
                     j += 1
                 part = keys[i:j]
-                blob = B.joined(np.array([len(k[2]) for k, _ in part], np.uint16).tobytes(), np.array([d for _, d in part], np.int64).tobytes(), zstandard.ZstdCompressor(3).compress(b"".join(k[2] for k, _ in part)))
+                blob = B.joined(np.array([len(k[2]) for k, _ in part], np.uint16).tobytes(), np.array([d for _, d in part], np.int64).tobytes(), zstandard.ZstdCompressor(3).compress(b"".join(k[2] for k, _ in part)), np.array([k[1] for k, _ in part], np.uint8).tobytes())
                 rows.append((part[0][0][0], block.number, blob))
                 i = j
             if rows:
