@@ -115,7 +115,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "bloc
                 "raw": held,
                 "ids": np.array([ids[i] for i in order], np.int64).tobytes(),
                 "lens": np.array([len(texts[i]) for i in order], np.int64).tobytes(),
-                "data": zstandard.ZstdCompressor(1).compress(b"".join(texts[i] for i in order)),
+                "data": zstandard.ZstdCompressor(5).compress(b"".join(texts[i] for i in order)),
             }
             count += 1
             ids, texts, held = [], [], 0

@@ -35,6 +35,7 @@ BUCKETS = 24  # of context counts: 0, 1, 2-3, 4-7, ...
 #: Bins of log2 of an estimate's ratio to the unigram estimate, in quarters; the first is for a ratio of 0.
 BINS, STEP, LOW = 161, 4, -60
 ROUNDS = 50
+BLOCK_BYTES = 10 << 20  # the larger a block, the fewer units are distinct in it
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 MODULUS, HELD_OUT = 7, 2
 
@@ -158,7 +159,7 @@ def counts_of(got) -> tuple[np.ndarray, int]:
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Returns RESULT: one row for each document."""
-    blocks = B.blocks_of(docs)
+    blocks = B.blocks_of(docs, BLOCK_BYTES)
     counted = B.stored(count_units(blocks), "counted")
 
     def totals(batches):
