@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 MOST_LOST = 50  # per cent of the characters
@@ -34,19 +35,22 @@ def count_of(text: Column, characters: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with words breaks a rule."""
-    letters = F.greatest(F.length(F.regexp_replace(line, SPACE, "")), F.lit(1))
-    n = F.size(words_of(line))
-    distinct = F.size(F.array_distinct(words_of(line)))
     low = F.lower(line)
     phrase = low.contains(BOILERPLATE[0])
     for p in BOILERPLATE[1:]:
         phrase = phrase | low.contains(p)
-    symbols = count_of(line, SYMBOLS) * 10 > letters
-    navigation = (count_of(line, "|") > 2) | ((n <= 12) & (count_of(line, "›»>/") > 2))
-    shouting = (count_of(line, "!") * 4 > n * 2) & (n > 2)
-    repeated = (n >= 10) & (distinct * 5 <= n)
-    unfinished = (n >= 12) & ~line.rlike(TERMINAL)
-    return F.coalesce(symbols | navigation | shouting | repeated | unfinished | phrase, F.lit(False))
+
+    def broken(words: Column) -> Column:
+        n = F.size(words)
+        symbols = count_of(line, SYMBOLS) * 10 > F.greatest(F.length(F.translate(line, BLANKS, "")), F.lit(1))
+        navigation = (count_of(line, "|") > 2) | ((n <= 12) & (count_of(line, "›»>/") > 2))
+        shouting = (n > 2) & (count_of(line, "!") * 4 > n * 2)
+        repeated = (n >= 10) & (F.size(F.array_distinct(words)) * 5 <= n)
+        unfinished = (n >= 12) & ~line.rlike(TERMINAL)
+        return F.coalesce(symbols | navigation | shouting | repeated | unfinished | phrase, F.lit(False))
+
+    # exists() over one element: the line is split once for all rules
+    return F.exists(F.array(words_of(line)), broken)
 
 
 def window_hashes(hashes: str, n: int) -> Column:
@@ -76,7 +80,7 @@ def line_first_cleaning(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFram
     out = one.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
