@@ -18,12 +18,17 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     big = v >= np.uint64(ESCAPE)
-    bits = np.searchsorted(np.uint64(1) << np.arange(60, dtype=np.uint64), v, side="right")
+    bits = np.frexp((v >> np.uint64(30)).astype(np.float64))[1].astype(np.int8)  # exact below 2**53
+    bits[bits > 0] += 30
+    bits = np.maximum(bits, np.frexp((v & np.uint64(2**30 - 1)).astype(np.float64))[1].astype(np.int8))
     bits[big] = 61
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int64 if n > 2**31 - 1 else np.int32)
     sel = np.full(n, 15, np.int64)
     for s in range(14, -1, -1):  # ever more numbers in a word; the last that fits stays
-        stop = np.minimum.accumulate(np.where(bits > WIDTHS[s], here, n)[::-1])[::-1]
+        wide = bits > WIDTHS[s]
+        if wide.all():
+            break  # no number is that narrow
+        stop = np.minimum.accumulate(np.where(wide, here, here.dtype.type(n))[::-1])[::-1] if wide.any() else n
         sel[stop - here >= COUNTS[s]] = s
     step = (here + COUNTS[sel]).tolist()
     starts, i = [], 0

@@ -41,16 +41,18 @@ NO_ID = -(2**63)
 
 
 def pack_chunk(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    values, of, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(values), np.uint64)
-    rank[order] = np.arange(len(values), dtype=np.uint64)
-    words, raw = simple8b.encode(rank[of] if len(ids) else np.zeros(0, np.uint64))
+    # ids are below a vocabulary's size, so a table by id is small
+    n = np.bincount(ids)
+    values = np.flatnonzero(n)
+    values = values[np.argsort(-n[values], kind="stable")]
+    rank = np.zeros(len(n), np.uint64)
+    rank[values] = np.arange(len(values), dtype=np.uint64)
+    words, raw = simple8b.encode(rank[ids] if len(ids) else np.zeros(0, np.uint64))
     sizes = simple8b.COUNTS[(words >> np.uint64(60)).astype(np.int64)]
     sizes[raw], sizes[raw - 1] = 1, 0
     before = (np.cumsum(sizes) - sizes)[::STRIDE].astype(np.uint64)
     keys = np.array([NO_ID if i is None else i for i in doc_ids], np.int64)
-    parts = (keys, counts.astype(np.uint32), values[order].astype(np.uint32), words, raw.astype(np.uint32), before, np.array([zlib.crc32(ids.astype("<u4").tobytes())], np.uint32))
+    parts = (keys, counts.astype(np.uint32), values.astype(np.uint32), words, raw.astype(np.uint32), before, np.array([zlib.crc32(ids.astype("<u4").tobytes())], np.uint32))
     return MAGIC + B.joined(*(p.tobytes() for p in parts))
 
 
