@@ -197,7 +197,7 @@ def answer(x: np.ndarray) -> bytes:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds too many."""
+    """64-bit hashes of words one by one; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
@@ -209,6 +209,66 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: A number for each byte and a multiplier for each place; a word's hash is the sum of their products.
+BYTE_NUMBERS = np.random.default_rng(20240301).integers(0, 2**64, 256, np.uint64)
+PLACE_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so that places differ in all but their lowest bits
+SPACES = [0x20, *range(0x09, 0x0E)]
+BYTE_NUMBERS[SPACES] = 0
+FOLDED_NUMBERS = BYTE_NUMBERS.copy()
+FOLDED_NUMBERS[65:91] = BYTE_NUMBERS[97:123]
+IN_WORD = np.ones(256, bool)
+IN_WORD[SPACES] = False
+PIECE_BYTES = 1 << 19
+
+
+class PlaceFactors:
+    """Powers of PLACE_BASE, as many as were asked for."""
+
+    def __init__(self):
+        self.table = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.table):
+            self.table = np.cumprod(np.full(max(n, 1024), PLACE_BASE, np.uint64)) * np.uint64(pow(PLACE_BASE, -1, 2**64))
+        return self.table
+
+
+PLACES = PlaceFactors()
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, parted by spaces; where their words start and end; how many words each text has."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    inside = IN_WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    bounds = np.concatenate(([0], np.cumsum(lens + 1)))
+    return data, starts, ends, np.diff(np.searchsorted(starts, bounds, side="right"))
+
+
+def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words, one text after the other, and how many each has; fold: A-Z as a-z.
+
+    Works piece by piece, so memory stays in proportion to the texts."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data, starts, _, counts = word_spans(texts)
+    numbers = FOLDED_NUMBERS if fold else BYTE_NUMBERS
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE_BYTES)))
+        a, b = int(starts[i]), int(starts[j]) if j < len(starts) else len(data)
+        mine = starts[i:j] - a
+        gaps = np.diff(mine, append=b - a)
+        place = np.arange(b - a) - np.repeat(mine, gaps)
+        # spaces count 0, so a sum up to the next word is the word's own
+        out[i:j] = np.add.reduceat(numbers.take(data[a:b]) * PLACES.upto(int(gaps.max())).take(place), mine)
+        i = j
+    return out, counts
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,10 +1,10 @@
 """MinHash near-dedup with odd sketches.
 
 1. Each document gets its shingle set's 128-bit hash, ROWS * BANDS MinHash values
-   folded into band keys, and an odd sketch: a bitmap in which each sampled
-   (permutation, minimum) flips one bit.  If two sets share a share J of their
-   samples, the XOR of their bitmaps has about (1 - J) * 2 * samples flips, so
-   its population count tells J, most precisely when J is high.
+   folded into band keys, and an odd sketch: a bitmap in which the minimum of each
+   of SAMPLES bins of its hashes flips one bit.  If two sets share a share J of
+   their samples, the XOR of their bitmaps has about (1 - J) * 2 * samples flips,
+   so its population count tells J, most precisely when J is high.
 2. Documents with equal sets are one class; its smallest doc_id represents it.
 3. Representatives with an equal band meet: all pairs in a group of at most SMALL
    members, in a larger one only a star of each member and CENTRES centres.
@@ -37,29 +37,34 @@ from . import blocks as B
 
 WORDS, PERCENT = 3, 85  # the contract's; other uses take five words and 80
 ROWS, BANDS = 5, 28
-SKETCH_BITS = 1024
+SKETCH_BITS, SAMPLES = 4096, 2048
+SAMPLE_SEED = np.uint64(0x452821E638D01377)
 CENTRES = 3  # of a large band group
 SMALL = 24  # members of a band group up to which all are paired
+LABELS = 500_000  # rows in a file of component labels
 TILE = 1024  # queries and targets compared at once
 PART_BYTES = 1 << 20
 SIGNATURE = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
 
 
-def shingle_sets(texts: list[bytes], n: int, hashes: B.WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, one text after the other; and how many each has."""
-    words = [t.lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    x = B.mixed(hashes.of([w for ws in words for w in ws]))
-    row = np.repeat(np.arange(len(words)), counts)
+    x, counts = B.word_hashes(texts, fold=True)
+    x = B.mixed(x)
+    row = np.repeat(np.arange(len(texts)), counts)
     g = B.grams(x, n)
     ok = row[: len(g)] == row[n - 1 : n - 1 + len(g)]
     h, r = g[ok], row[: len(g)][ok]
     ends = np.cumsum(counts)
     short = np.flatnonzero((counts > 0) & (counts < n))
     one = np.array([B.grams(x[ends[i] - counts[i] : ends[i]], int(counts[i]), 1)[0] for i in short.tolist()], np.uint64)
-    h, r = np.concatenate((h, one)), np.concatenate((r, short))
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+    if len(short):
+        h, r = np.concatenate((h, one)), np.concatenate((r, short))
+        order = np.argsort(r, kind="stable")
+        h, r = h[order], r[order]
+    stops = np.cumsum(np.bincount(r, minlength=len(texts))).tolist()
+    for a, b in zip([0, *stops], stops, strict=False):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     return h[new], np.bincount(r[new], minlength=len(texts))
@@ -88,18 +93,45 @@ def signatures(h: np.ndarray, counts: np.ndarray, rows: int, bands: int) -> tupl
         for i in range(rows):
             key = B.mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ low[j * rows + i])
         keys[:, j] = key
-    spot = B.mixed(low.T.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    flips = np.zeros((len(counts), SKETCH_BITS), np.uint8)
-    np.add.at(flips, (np.repeat(np.arange(len(counts)), k), spot.ravel().astype(np.int64)), 1)
-    return keys, np.packbits(flips & 1, axis=1)
-
-
-def most_flips(percent: int, samples: int) -> int:
-    """The largest XOR population count that a pair at the threshold shows, but for four standard deviations of the samples and four of the count."""
+    return keys, sketches(h, counts)
+
+
+def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Odd sketches (texts x bytes): of each of SAMPLES bins of a set's hashes, the smallest one flips a bit."""
+    u = B.mixed(h ^ SAMPLE_SEED)
+    stops = np.cumsum(counts)
+    for a, b in zip((stops - counts).tolist(), stops.tolist(), strict=True):
+        u[a:b].sort()
+    row = np.repeat(np.arange(len(counts)), counts)
+    bins = u >> np.uint64(64 - SAMPLES.bit_length() + 1)
+    least = np.ones(len(u), bool)
+    least[1:] = (bins[1:] != bins[:-1]) | (row[1:] != row[:-1])
+    row, spot = row[least], (B.mixed(u[least]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    out = np.empty((len(counts), SKETCH_BITS // 8), np.uint8)
+    for i in range(0, len(counts), 1024):
+        n = min(1024, len(counts) - i)
+        mine = slice(*np.searchsorted(row, (i, i + n)).tolist())
+        flips = np.bincount((row[mine] - i) * SKETCH_BITS + spot[mine], minlength=n * SKETCH_BITS)
+        out[i : i + n] = np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+    return out
+
+
+def most_flips(percent: int, sizes: np.ndarray) -> np.ndarray:
+    """The largest XOR population count that pairs at the threshold show; sizes: the sum of both sets' sizes.
+
+    A pair's union has at most sizes / (1 + J) members, of which a share of 1 - J is
+    in one set only; each bin that differs holds one of those as its minimum.  Such a
+    bin flips a second bit if the other set has something in it too.  Four standard
+    deviations are allowed for each time, and four again for flips that cancel.
+    """
     j = percent / 100
-    differ = samples * (1 - j) + 4 * (samples * j * (1 - j)) ** 0.5
-    p = (1 - (1 - 2 / SKETCH_BITS) ** (2 * min(differ, samples))) / 2
-    return int(np.ceil(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5))
+    union = sizes / (1 + j)
+    bins = np.minimum(union, SAMPLES)
+    differ = np.minimum((1 - j) * union, bins * (1 - j) + 4 * np.sqrt(bins * j * (1 - j)))
+    second = differ * (1 - np.exp(-union / SAMPLES))
+    flips = differ + np.minimum(differ, second + 4 * np.sqrt(second) + 4)
+    p = (1 - (1 - 2 / SKETCH_BITS) ** flips) / 2
+    return np.minimum(flips + 1e-6, SKETCH_BITS * p + 4 * np.sqrt(SKETCH_BITS * p * (1 - p)) + 1)
 
 
 def text_groups(batches, most: int):
@@ -121,9 +153,8 @@ def text_groups(batches, most: int):
 
 def signed(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
     def sign(batches):
-        hashes = B.WordHashes()
         for meta, texts in text_groups(batches, PART_BYTES):
-            h, n = shingle_sets(texts, words, hashes)
+            h, n = shingle_sets(texts, words)
             full = np.flatnonzero(n)
             ends = np.cumsum(n)
             ids = pa.array([m["doc_id"] for m in meta], pa.int64())
@@ -143,38 +174,50 @@ def signed(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach from each node (id).
 
-    Each round takes the smallest label among neighbours, then the label of that
-    label; both are joins, and what a round leaves is written to the shared folder.
+    Each round takes the smallest label among neighbours, then that label's label
+    of the round before; what a round leaves is written to the shared folder, in
+    files of about LABELS rows.
     """
     both = B.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    now = B.stored(nodes.select("id", F.col("id").alias("component")), "labels")
+    parts = both.count() // LABELS + 1
+    now = B.stored(nodes.select("id", F.col("id").alias("component")).coalesce(parts), "labels")
     while True:
         low = both.join(now, both.b == now.id).groupBy("a").agg(F.min("component").alias("low"))
-        step = now.join(low, now.id == low.a, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("low", "component")).alias("component"))
-        step = B.stored(step, "labels")
-        far = step.select(F.col("id").alias("at"), F.col("component").alias("next"))
-        jumped = step.join(far, step.component == far.at, "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component"))
-        jumped = B.stored(jumped, "labels")
-        now = jumped.select("id", "component")
-        if jumped.filter("component < was").isEmpty():
+        step = now.join(low, now.id == low.a, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("low", "component")).alias("near"))
+        far = now.select(F.col("id").alias("at"), F.col("component").alias("next"))
+        new = step.join(far, step.near == far.at, "left").select("id", "was", F.least("near", F.coalesce("next", "near")).alias("component"))
+        new = B.stored(new.coalesce(parts), "labels")
+        now = new.select("id", "component")
+        if new.filter("component < was").isEmpty():
             return now
 
 
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after further links (a, b) have joined some components."""
+    of = lambda k: labels.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    between = B.stored(links.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    ends = between.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    new = components(between, ends).toDF("component", "least")
+    return labels.join(new, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have that similarity."""
-    text = docs.select("doc_id", "text")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # all texts are shuffled once; the two joins move those of the candidates alone
+    text = B.stored(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     # shuffled joins: a centre in many pairs is a hot key, which the adaptive plan splits
     with_a = pairs.join(text.withColumnRenamed("text", "text_a").hint("merge"), pairs.a == F.col("doc_id")).drop("doc_id")
     with_b = with_a.join(text.hint("merge"), with_a.b == F.col("doc_id")).drop("doc_id")
 
     def check(batches):
-        hashes, kept = B.WordHashes(), {}
+        kept = {}
 
         def set_of(key, t: str):
             if key not in kept:
                 if len(kept) > 500:
                     kept.clear()
-                kept[key] = shingle_sets([(t or "").encode()], words, hashes)[0]
+                kept[key] = shingle_sets([(t or "").encode()], words)[0]
             return kept[key]
 
         for batch in batches:
@@ -193,25 +236,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return with_b.mapInArrow(check, "a long, b long")
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, percent: int, samples: int) -> DataFrame:
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose set sizes and odd sketches allow that similarity."""
     s = sketches.select("id", "n_shingles", "sketch")
     one = pairs.join(s.toDF("a", "na", "sa").hint("merge"), "a").join(s.toDF("b", "nb", "sb").hint("merge"), "b")
     one = one.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    limit = most_flips(percent, samples)
 
     def sift(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yes = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= limit)
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yes = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most_flips(percent, sizes))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(yes), batch.column("b").filter(yes)], names=["a", "b"])
 
     return one.mapInArrow(sift, "a long, b long")
 
 
-def likely_apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, samples: int) -> DataFrame:
+def likely_apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one group, in different components, whose sketches allow that similarity.
 
     A group's queries are its members outside the largest component, its targets
@@ -229,7 +272,6 @@ def likely_apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, per
     targets = rows.select("band", up_to("chunks").alias("c"), hashed("slices").alias("s"), F.lit(False).alias("asks"), *columns)
     keys = ["band", "c", "s"]
     dealt = queries.unionByName(targets).repartition(*keys).sortWithinPartitions(*keys)
-    limit = most_flips(percent, samples)
 
     def compare(batches):
         held = None
@@ -247,7 +289,7 @@ def likely_apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, per
                     low, high = np.minimum(size[m][:, None], size[g]), np.maximum(size[m][:, None], size[g])
                     a, b = np.nonzero((comp[m][:, None] != comp[g]) & (low * 100 >= high * percent))
                     a, b = m[a], g[b]
-                    near = np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1) <= limit
+                    near = np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1) <= most_flips(percent, size[a] + size[b])
                     out.append((np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]))
             return out
 
@@ -293,12 +335,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     many = members.filter(F.col("n") > small)
     stars = many.select("id", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(centres)]))).alias("c")).filter("id <> c")
     pairs = pairs.union(stars.select(F.least("id", "c"), F.greatest("id", "c"))).distinct()
-    links = B.stored(confirmed(B.stored(likely(pairs, reps, percent, rows * bands), "likely"), docs, words, percent), "links")
+    links = B.stored(confirmed(B.stored(likely(pairs, reps, percent), "likely"), docs, words, percent), "links")
     labels = components(links, nodes)
-    apart = B.stored(likely_apart(many.select("band", "id"), labels, reps, percent, rows * bands), "apart")
+    apart = B.stored(likely_apart(many.select("band", "id"), labels, reps, percent), "apart")
     if not apart.isEmpty():
         more = B.stored(confirmed(apart, docs, words, percent), "links")
-        labels = components(links.union(more), nodes)
+        labels = joined_components(labels, more)
     classed = sigs.join(classes, ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = classed.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "class_id")).alias("kept"), "class_id")
