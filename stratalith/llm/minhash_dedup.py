@@ -12,8 +12,9 @@
    is confirmed on full sets, and confirmed links give components.
 4. In large groups that are still in several components, each member outside the
    largest one meets all members of other components, by sketches, in tiles of bounded
-   size; what the sketches allow is confirmed too.  So no pair that shares a band is
-   left out but those whose ends are already joined.
+   size; what the sketches allow is confirmed in the tile, on full sets, and the tile
+   gives only links that join components.  So no pair that shares a band is left out
+   but those whose ends are already joined, and no list of pairs is written.
 
 With 5 rows and 28 bands a pair at J = 0.85 shares no band with probability
 7e-8, at 0.8 with 1.5e-5.
@@ -42,7 +43,7 @@ SAMPLE_SEED = np.uint64(0x452821E638D01377)
 CENTRES = 3  # of a large band group
 SMALL = 24  # members of a band group up to which all are paired
 LABELS = 500_000  # rows in a file of component labels
-TILE = 1024  # queries and targets compared at once
+TILE, TILE_SHINGLES = 1024, 1 << 19  # queries, or targets, compared at once, and their shingles
 PART_BYTES = 1 << 20
 SIGNATURE = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
 
@@ -201,6 +202,14 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(new, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two sorted sets share."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have that similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -228,7 +237,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 # sizes alone may rule a pair out
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = common(x, y)
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     yes.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(yes, pa.int64())), b.take(pa.array(yes, pa.int64()))], names=["a", "b"])
@@ -254,65 +263,136 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return one.mapInArrow(sift, "a long, b long")
 
 
-def likely_apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one group, in different components, whose sketches allow that similarity.
+TILE_KEYS = ["band", "c", "s"]
+ASKS, ANSWERS = 1, 2  # what a row does in a tile: a query, a target, or both
+TILE_VALUES = ["id", "component", "n_shingles", "sketch", "bands"]
+TILE_COLUMNS = "band long, c int, s int, id long, component long, role int"
+
+
+def whole_tiles(batches):
+    """A table for each tile, from batches that are sorted by tile."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not t.num_rows:
+            continue
+        key = np.stack([t.column(k).to_numpy() for k in TILE_KEYS])
+        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))).tolist()
+        for i, j in zip(edge, edge[1:], strict=False):
+            yield t.slice(i, j - i)
+        held = t.slice(edge[-1])  # may go on in the next batch
+    if held is not None and held.num_rows:
+        yield held
+
+
+def near_in_tile(t: pa.Table, percent: int):
+    """Rows (a, b) of a tile, some at a time: a query and a target of another component whose sketches allow the similarity.
+
+    Two documents may meet in several band groups; only the first band that they share counts.
+    """
+    comp, size, role = (t.column(k).to_numpy() for k in ("component", "n_shingles", "role"))
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    band = t.column("band")[0].as_py()
+    q, g = np.flatnonzero(role & ASKS), np.flatnonzero(role & ANSWERS)
+    both = role == ASKS | ANSWERS
+    for k in range(0, len(q), 64):
+        m = q[k : k + 64]
+        low, high = np.minimum(size[m][:, None], size[g]), np.maximum(size[m][:, None], size[g])
+        a, b = np.nonzero((comp[m][:, None] != comp[g]) & (low * 100 >= high * percent))
+        a, b = m[a], g[b]
+        once = ~(both[a] & both[b]) | (a < b)  # two that do both would meet twice
+        a, b = a[once], b[once]
+        flips = np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1)
+        near = flips <= most_flips(percent, size[a] + size[b])
+        a, b, flips = a[near], b[near], flips[near]
+        first = (bands[a] == bands[b]).argmax(axis=1)
+        mine = bands[a, first] == band
+        order = np.argsort(flips[mine], kind="stable")
+        yield a[mine][order], b[mine][order]
+
+
+def likely_apart(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """One row (TILE_COLUMNS) for each tile and document that has a partner there: a member of another component whose sketch allows that similarity.
 
     A group's queries are its members outside the largest component, its targets
-    are all; both are dealt out to tiles, so that a group of any size is spread.
+    are all; both are dealt out to tiles, bounded in members and in shingles, so that
+    a group of any size is spread.  A tile gives its documents, never its pairs.
     """
     named = members.join(labels, "id")
-    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
-    group = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
-    group = group.filter("parts > 1").select("band", "major", F.ceil((F.col("n") - F.col("top")) / TILE).cast("int").alias("chunks"), F.ceil(F.col("n") / TILE).cast("int").alias("slices"))
-    rows = named.join(group, "band").join(sketches.select("id", "n_shingles", "sketch").hint("merge"), "id")
+    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    major = F.struct("n", "component")
+    group = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("top"), F.max_by("w", major).alias("top_w"), F.max_by("component", major).alias("major"), F.count("*").alias("parts"))
+    tiled = lambda n, w: F.ceil(F.greatest(n / TILE, w / TILE_SHINGLES)).cast("int")
+    n, w, top, top_w = (F.col(k) for k in ("n", "w", "top", "top_w"))
+    group = group.filter("parts > 1").select("band", "major", tiled(n - top, w - top_w).alias("chunks"), tiled(n, w).alias("slices"))
+    # sketches are joined once for each document, not once for each of its bands
+    each = named.join(group, "band").groupBy("id").agg(F.min("component").alias("component"), F.collect_list(F.struct("band", "major", "chunks", "slices")).alias("at"))
+    rows = each.join(reps.select("id", "n_shingles", "sketch", "bands").hint("merge"), "id").select(F.explode("at").alias("one"), "*").select("one.*", *TILE_VALUES)
     hashed = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     up_to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    columns = ["id", "component", "n_shingles", "sketch"]
-    queries = rows.filter("component <> major").select("band", hashed("chunks").alias("c"), up_to("slices").alias("s"), F.lit(True).alias("asks"), *columns)
-    targets = rows.select("band", up_to("chunks").alias("c"), hashed("slices").alias("s"), F.lit(False).alias("asks"), *columns)
-    keys = ["band", "c", "s"]
-    dealt = queries.unionByName(targets).repartition(*keys).sortWithinPartitions(*keys)
+    queries = rows.filter("component <> major").select("band", hashed("chunks").alias("c"), up_to("slices").alias("s"), F.lit(ASKS).alias("role"), *TILE_VALUES)
+    targets = rows.select("band", up_to("chunks").alias("c"), hashed("slices").alias("s"), F.lit(ANSWERS).alias("role"), *TILE_VALUES)
+    dealt = queries.unionByName(targets).repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
 
     def compare(batches):
-        held = None
-
-        def pairs_of(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-            key = np.stack([t.column(k).to_numpy() for k in keys])
-            edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if t.num_rows else np.zeros(0, int)
-            ids, comp, size, asks = (t.column(k).to_numpy() for k in ("id", "component", "n_shingles", "asks"))
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-            out = []
-            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), t.num_rows], strict=True):
-                q, g = np.flatnonzero(asks[i:j]) + i, np.flatnonzero(~asks[i:j]) + i
-                for k in range(0, len(q), 64):
-                    m = q[k : k + 64]
-                    low, high = np.minimum(size[m][:, None], size[g]), np.maximum(size[m][:, None], size[g])
-                    a, b = np.nonzero((comp[m][:, None] != comp[g]) & (low * 100 >= high * percent))
-                    a, b = m[a], g[b]
-                    near = np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1) <= most_flips(percent, size[a] + size[b])
-                    out.append((np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]))
-            return out
-
-        def rows_of(found):
-            if found:
-                a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            if not t.num_rows:
-                continue
-            # the last tile may go on in the next batch
-            key = np.stack([t.column(k).to_numpy() for k in keys])
-            same = (key == key[:, -1:]).all(axis=0)
-            start = int(np.argmax(same)) if same.any() else t.num_rows
-            yield from rows_of(pairs_of(t.slice(0, start)) if start else [])
-            held = t.slice(start)
-        if held is not None and held.num_rows:
-            yield from rows_of(pairs_of(held))
+        for t in whole_tiles(batches):
+            found = np.zeros(t.num_rows, bool)
+            for a, b in near_in_tile(t, percent):
+                found[a] = found[b] = True
+            if found.any():
+                t = t.filter(pa.array(found))
+                _, first, of = np.unique(t.column("id").to_numpy(), return_index=True, return_inverse=True)
+                role = np.zeros(len(first), np.int32)
+                np.bitwise_or.at(role, of, t.column("role").to_numpy())
+                t = t.take(pa.array(first)).select([*TILE_KEYS, "id", "component"])
+                yield from t.append_column("role", pa.array(role)).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(compare, TILE_COLUMNS)
+
+
+def links_apart(apart: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components, from the rows that likely_apart gives.
+
+    Texts travel to the tiles, where pairs are compared on full sets, the likeliest
+    first; a pair whose components the tile has joined already is skipped, as it can't
+    change the result.  So a tile gives fewer links than it has components.
+    """
+    each = apart.groupBy("id").agg(F.min("component").alias("component"), F.collect_list(F.struct(*TILE_KEYS, "role")).alias("at"))
+    full = each.join(reps.select("id", "n_shingles", "sketch", "bands").hint("merge"), "id").join(docs.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id")
+    rows = full.select(F.explode("at").alias("one"), "*").select("one.*", *TILE_VALUES, "text").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    def compare(batches):
+        for t in whole_tiles(batches):
+            ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
+            text, sets, root, out = t.column("text"), {}, {}, []
+
+            def top(c):
+                while root.get(c, c) != c:
+                    root[c] = c = root.get(root[c], root[c])
+                return c
+
+            def set_of(i):
+                if i not in sets:
+                    sets[i] = shingle_sets([(text[i].as_py() or "").encode()], words)[0]
+                return sets[i]
+
+            for a, b in near_in_tile(t, percent):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    ci, cj = top(int(comp[i])), top(int(comp[j]))
+                    if ci == cj:
+                        continue
+                    x, y = set_of(i), set_of(j)
+                    both = common(x, y)
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        root[ci] = cj
+                        out.append((ids[i], ids[j]))
+            if out:
+                lo, hi = (pa.array([f(p) for p in out], pa.int64()) for f in (min, max))
+                yield pa.RecordBatch.from_arrays([lo, hi], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, centres: int = CENTRES, small: int = SMALL) -> DataFrame:
@@ -326,7 +406,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     classes = full.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"))
     reps = full.join(classes, full.doc_id == classes.id, "left_semi").withColumnRenamed("doc_id", "id")
     reps = B.stored(reps.select("id", "n_shingles", "bands", "sketch"), "representatives")
-    grouped = reps.select("id", F.explode("bands").alias("band"))
+    grouped = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
     big = grouped.groupBy("band").agg(F.count("*").alias("n"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in range(centres)]).filter("n > 1")
     members = B.stored(grouped.join(big, "band"), "members")
     nodes = members.select("id").distinct()
@@ -337,9 +417,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     pairs = pairs.union(stars.select(F.least("id", "c"), F.greatest("id", "c"))).distinct()
     links = B.stored(confirmed(B.stored(likely(pairs, reps, percent), "likely"), docs, words, percent), "links")
     labels = components(links, nodes)
-    apart = B.stored(likely_apart(many.select("band", "id"), labels, reps, percent), "apart")
+    apart = B.stored(likely_apart(many.select("band", "id", "n_shingles"), labels, reps, percent), "apart")
     if not apart.isEmpty():
-        more = B.stored(confirmed(apart, docs, words, percent), "links")
+        more = B.stored(links_apart(apart, reps, docs, words, percent), "links")
         labels = joined_components(labels, more)
     classed = sigs.join(classes, ["set1", "set2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = classed.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")

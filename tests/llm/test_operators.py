@@ -93,6 +93,7 @@ def shingles(t, n):
 @pytest.mark.parametrize("small,tile", [(24, 1024), (1, 2)])
 def test_minhash_dedup(spark, docs, small, tile, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "TILE", tile)
+    monkeypatch.setattr(minhash_dedup, "TILE_SHINGLES", 64 * tile)
     sets = {i: shingles(t, 3) for i, t in sample()}
     root = {i: i for i in sets}
 
