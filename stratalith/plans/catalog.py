@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import code_corpus, corpus, records  # noqa: F401
+from . import assessments, code_corpus, corpus, records  # noqa: F401
