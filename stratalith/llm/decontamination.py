@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Benchmark items come to the driver in blocks of at most ITEM_BYTES of text, one
 at a time, and each block is broadcast, so memory is bounded whatever the
-benchmark's size.  For a block, one pass over the documents notes where the items'
-n-grams are; from that comes how many documents have each; an item's seeds are
-the rarer half of its n-grams, so that an item copied everywhere still has seeds.
-Documents with seeds close together are read again: hits of one item are grouped
-by place, and the words around a group of two or more are aligned with the item.  A copy is found if its
-alignment score reaches LEAST of the best possible one for min(words, LONG) words.
+benchmark's size.  For a block, one pass over the documents looks for the items'
+n-grams.  Every n-gram of an item is a seed, however common it is: an edited or
+partial copy may have kept any of them.  Hits of one item are grouped by place.
+No alignment can score more than its words that the item has, at MATCH each, less
+the others at GAP, so most groups are ruled out by the best sum of a run of words;
+the words around the others are aligned with the item.  A copy is found if its
+alignment score reaches LEAST of the best possible one for min(words, LONG) words
+and it has SEED words of the item in a row.
 
 Words are compared without case and outer punctuation; tokens of punctuation
 alone don't count.  Items of fewer words than a seed have themselves as seed and
@@ -49,7 +51,7 @@ class PlainHashes(B.WordHashes):
 
 
 class Items:
-    """A block of items: their words, and their n-grams in order of hash with (item, place)."""
+    """A block of items: their words, and their distinct n-grams in order of hash with the item."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         hashes = PlainHashes()
@@ -59,34 +61,18 @@ class Items:
             if (x := x[x != 0]).size:
                 self.ids.append(i)
                 self.words.append(B.mixed(x))
-        keys, items, places = [], [], []
+        keys, items = [], []
         for k, x in enumerate(self.words):
-            g = B.grams(x, SEED)
+            g = np.unique(B.grams(x, SEED))
             keys.append(g)
             items.append(np.full(len(g), k))
-            places.append(np.arange(len(g)))
-        keys, items, places = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (keys, items, places))
+        keys, items = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (keys, items))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order].astype(np.uint64), items[order].astype(np.int64), places[order].astype(np.int64)
+        self.keys, self.item = keys[order].astype(np.uint64), items[order].astype(np.int64)
+        self.vocabulary = [np.unique(x) for x in self.words]
         # one- and two-word items: their whole sequence
         self.short = [k for k, x in enumerate(self.words) if len(x) < SEED]
 
-    def lengths(self) -> tuple[int, int]:
-        """Words of the shortest and of the longest item."""
-        n = [len(x) for x in self.words]
-        return (min(n), max(n)) if n else (0, 0)
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Keeps each item's rarer half as seeds; frequency: documents by n-gram."""
-        n = np.array([frequency.get(k, 0) for k in self.keys.tolist()], np.int64)
-        keep = np.zeros(len(n), bool)
-        order = np.lexsort((self.place, n, self.item))
-        start = 0
-        for size in np.bincount(self.item, minlength=len(self.words)).tolist() if len(n) else []:
-            keep[order[start : start + max(8, (size + 1) // 2)][: min(size, max(8, (size + 1) // 2))]] = True
-            start += size
-        self.keys, self.item, self.place = self.keys[keep], self.item[keep], self.place[keep]
-
 
 def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score of sequences a and b, and where in b it starts and ends."""
@@ -114,6 +100,13 @@ def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def highest(words: np.ndarray, vocabulary: np.ndarray) -> int:
+    """A score that no alignment of a part of the words reaches beyond: the best sum over a run of them, with MATCH for a word of the (sorted) vocabulary and GAP for another."""
+    known = vocabulary[np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)] == words
+    total = np.cumsum(np.where(known, MATCH, GAP))
+    return int((total - np.minimum(np.minimum.accumulate(np.append(0, total[:-1])), 0)).max(initial=0))
+
+
 def item_blocks(bench: DataFrame, most: int = ITEM_BYTES) -> Iterator[Items]:
     rows, held = [], 0
     for r in bench.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").toLocalIterator():
@@ -166,46 +159,13 @@ def leaks(docs: DataFrame, bench: DataFrame, least: float = LEAST, item_bytes: i
 
 
 def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    every = sc.broadcast(np.unique(items.keys))
-
-    def find(batches):
-        keys = every.value
-        for ids, x, row, _ in plain_words(batches):
-            g = B.grams(x, SEED)
-            at = np.flatnonzero(found_at(keys, g))
-            at = at[row[at] == row[at + SEED - 1]]
-            docs_hit, start = np.unique(row[at], return_index=True)
-            if len(at):
-                offsets = pa.array(np.append(start, len(at)), pa.int32())
-                grams, places = (pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (np.searchsorted(keys, g[at]), at))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in docs_hit.tolist()], pa.int64()), grams, places], names=["doc_id", "grams", "places"])
-
-    hits = B.stored(docs.mapInArrow(find, "doc_id long, grams array<long>, places array<long>"), "seed-hits")
-    keys = every.value
-    # as many rows as the block of items has n-grams, at most
-    counted = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()
-    items.choose({int(keys[r["gram"]]): r["n"] for r in counted})
-    seeds = sc.broadcast(np.isin(keys, items.keys))
-    shortest, longest = items.lengths()
-
-    def worth(batches):
-        """Documents in which two seeds of one item, or one of a short item, lie close together; every document if there are items shorter than a seed."""
-        keep = seeds.value
-        for batch in batches:
-            yes = []
-            for grams, places in zip(batch.column(1), batch.column(2), strict=True):
-                g, p = grams.values.to_numpy(), places.values.to_numpy()
-                p = p[keep[g]]
-                yes.append(len(p) > 1 and bool((np.diff(p) <= longest).any()) or len(p) > 0 and shortest < 8)
-            yield batch.filter(pa.array(yes, pa.bool_())).select(["doc_id"])
-
-    if not items.short:
-        docs = docs.join(hits.mapInArrow(worth, "doc_id long").distinct(), "doc_id", "left_semi")
-    shared = sc.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches):
         b = shared.value
+        length = np.array([len(w) for w in b.words], np.int64)
+        # an alignment has n matches at most, and each further word of the document takes 1 from what they score
+        spans = (MATCH + 1) * length - np.floor(least * MATCH * np.minimum(length, LONG)).astype(np.int64)
         short_keys = {tuple(b.words[k].tolist()): [] for k in b.short}
         for k in b.short:
             short_keys[tuple(b.words[k].tolist())].append(k)
@@ -217,28 +177,26 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
             n = hi - lo
             pos = np.repeat(at, n)
             hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            item, q = b.item[hit], b.place[hit]
+            item = b.item[hit]
             order = np.lexsort((pos, item, row[pos]))
-            pos, item, q = pos[order], item[order], q[order]
+            pos, item = pos[order], item[order]
             doc = row[pos]
-            length = np.array([len(w) for w in b.words], np.int64)[item] if len(item) else item
-            # a new group where the document or item changes or an item's length lies between
+            # a new group where the document or item changes or more lies between than an alignment spans
             new = np.ones(len(pos), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:])
+            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > spans[item[1:]])
             firsts = np.flatnonzero(new).tolist()
             edge = np.searchsorted(row, np.arange(len(ids) + 1))
             for s, e in zip(firsts, [*firsts[1:], len(pos)] if firsts else [], strict=True):
                 k, d = int(item[s]), int(doc[s])
-                words = b.words[k]
-                if e - s < 2 and len(words) >= 8 or len(np.unique(q[s:e])) < min(2, len(words) - SEED + 1):
-                    continue
-                self_ = min(len(words), LONG) * MATCH
-                # windows of the document, an item long on either side, that follow one another
-                a0, a1 = max(int(edge[d]), int(pos[s]) - len(words) - 5), min(int(edge[d + 1]), int(pos[e - 1]) + len(words) + 5)
+                words, span, enough = b.words[k], int(spans[k]), least * min(len(b.words[k]), LONG) * MATCH
+                a0, a1 = max(int(edge[d]), int(pos[s]) - span), min(int(edge[d + 1]), int(pos[e - 1]) + SEED + span)
+                # windows that overlap by what an alignment spans at most
                 for w0 in range(a0, a1, 4 * len(words) + 64):
-                    w1 = min(a1, w0 + 6 * len(words) + 96)
+                    w1 = min(a1, w0 + 4 * len(words) + 64 + span)
+                    if highest(x[w0:w1], b.vocabulary[k]) < enough:
+                        continue
                     score, f, t = local_alignment(words, x[w0:w1])
-                    if score >= least * self_:
+                    if score > 0 and score >= enough:
                         value = (score / (MATCH * len(words)), int(place[w0 + f]), int(place[w0 + t - 1]) + 1)
                         key = (ids[d], b.ids[k])
                         if key not in got or value[0] > got[key][0]:

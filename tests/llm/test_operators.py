@@ -234,6 +234,43 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def aligned(a, b):
+    """Best Smith-Waterman score of two lists of words: 2 for a match, -1 for all else."""
+    h, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, h[j] + (2 if x == y else -1), h[j + 1] - 1, new[j] - 1))
+        h, best = new, max(best, max(new))
+    return best
+
+
+@pytest.mark.parametrize("elsewhere", [0, 6])
+def test_decontamination_of_edited_copies(spark, elsewhere):
+    r = random.Random(9)
+    word = lambda: r.choice(("the", "of", "and", "in")) if r.random() < 0.3 else f"w{r.randint(0, 400)}"
+    plain = lambda n: [word() for _ in range(n)]
+    items = {i: plain(n) for i, n in enumerate((15, 20, 24, 30, 38, 45, 59, 90))}
+    texts = []
+    for w in items.values():
+        half = len(w) // 2 + 1
+        for part in (w[:half], w[-half:]):
+            texts.append(part)
+        for share in (10, 15, 20, 25):
+            texts.append([f"x{r.randint(0, 9)}" if r.randint(0, 99) < share else x for x in w])
+            texts.append([y for x in w for y in ((x, "so") if r.randint(0, 99) < share else (x,))])
+        texts.append([y for k, x in enumerate(w) for y in ((x, "so") if k % 3 == 2 else (x,))])
+        texts.append([x if k % 14 not in (4, 7, 10, 13) else "other" for k, x in enumerate(w)])
+        # what an item keeps may be common, or rarer than what an edited copy lacks
+        texts += [w] * elsewhere + [w[i : i + 5] for i in range(0, len(w), 4) for _ in range(elsewhere)]
+    texts = [plain(r.randint(0, 60)) + t + plain(r.randint(0, 60)) for t in texts] + [plain(200) for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    want = {(d, i): s / (2 * len(w)) for d, t in enumerate(texts) for i, w in items.items() if (s := aligned(w, t)) >= min(len(w), 30)}
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontamination.leaks(docs, bench).collect()}
+    assert len(want) > 80 and got == pytest.approx(want)
+
+
 def compare(df, sql, **tables):
     c = duckdb.connect()
     for name, t in tables.items():
