@@ -3,6 +3,11 @@
 Each stage is (name, function of spark, docs and sf_dir); what it returns is
 written as Parquet and read again before the next one.  All but the last return
 the columns of documents.
+
+Every row is a document of its own, whatever its doc_id: what a stage finds in one
+row drops or changes that row alone.  Where the first of several documents stays,
+a smaller doc_id comes first, of equal ones the smaller text, and null ids last.
+Labels are those of the doc_id.
 """
 
 from __future__ import annotations
@@ -15,27 +20,47 @@ from stratalith.llm.decontamination import leaks
 from stratalith.llm.minhash_dedup import near_duplicates
 from stratalith.llm.packing import pack
 from stratalith.llm.substring_dedup import substring_dedup
-from stratalith.llm.toxicity import toxicity_scores
+from stratalith.llm.toxicity import SAMPLE, learned, scored
+
+
+#: A column of the stages' own: the number of a row.
+ROW = "_row"
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """docs with ROW, unique and in order of doc_id (null last), then of text; the doc_id itself if that is unique and never null."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    return blocks.stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """What the operators read, with ROW as doc_id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scores.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows = by_row(docs)
+    model = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SAMPLE)
+    bad = scored(numbered(rows), model).filter("predicted = 1").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (shingles of five words, similarity 0.8)."""
-    gone = near_duplicates(docs, words=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = by_row(docs)
+    gone = near_duplicates(numbered(rows), words=5, percent=80).filter("not kept").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts word windows that an earlier document has; documents left without words go."""
-    kept = substring_dedup(docs).select(F.col("doc_id").alias("id"), "n_words", "n_removed", "kept_text")
+    rows = by_row(docs)
+    kept = substring_dedup(numbered(rows)).select(F.col("doc_id").alias("id"), "n_words", "n_removed", "kept_text")
     changed = blocks.stored(kept, "cut").filter("n_removed > 0")
-    both = docs.join(changed, docs.doc_id == changed.id, "left").filter("n_removed is null or n_removed < n_words")
+    both = rows.join(changed, rows[ROW] == changed.id, "left").filter("n_removed is null or n_removed < n_words")
     text = F.when(F.col("n_removed").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -45,8 +70,9 @@ def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    bad = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows = by_row(docs)
+    bad = leaks(numbered(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

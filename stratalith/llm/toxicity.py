@@ -217,7 +217,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict |
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Returns RESULT: one row for each document."""
-    model = learned(docs, labels, sample)
+    return scored(docs, learned(docs, labels, sample), threshold)
+
+
+def scored(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """RESULT by a model that has been learned."""
 
     def score(batches):
         lexicon = Lexicon(model["names"], False) if model else None

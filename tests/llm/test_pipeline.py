@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -12,3 +14,37 @@ def test_stages_keep_columns_and_drop_bad_documents(spark):
         seen = out
     pieces = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in seen.select("doc_id").collect()}
+
+
+SCHEMA = "doc_id long, text string, n_chars int"
+
+
+def texts_after(stage, spark, rows, sf):
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], SCHEMA).repartition(3)
+    return sorted(((x.doc_id, x.text) for x in stage(spark, docs, str(sf)).collect()), key=str)
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    r = random.Random(6)
+    plain = lambda n=40: " ".join(f"w{r.randint(0, 900)}" for _ in range(n))
+    insult = " you idiot moron"
+    labelled = [(i, plain() + insult * (i % 5 == 0)) for i in range(200)]
+    clean = [x for x in labelled if x[0] % 5]
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = plain(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = [(300, plain()), (300, plain()), (None, plain()), (None, plain())]
+    srt = lambda rows: sorted(rows, key=str)
+
+    bad = [(300, plain() + insult), (None, plain() + insult)]
+    assert texts_after(corpus_pipeline.toxicity, spark, labelled + some + bad, tmp_path) == srt(clean + some)
+    # of equal texts the one with the smallest id stays, null ids come last
+    bad = [(300, clean[0][1]), (None, clean[1][1]), (None, some[2][1])]
+    assert texts_after(corpus_pipeline.minhash_dedup, spark, clean + some + bad, tmp_path) == srt(clean + some)
+    # one text of an id is cut, the other stays as it is
+    own = [plain(10), plain(10)]
+    cut = [(300, f"{own[0]} {clean[0][1]}"), (None, f"{clean[1][1]} {own[1]}"), (300, clean[2][1])]
+    want = srt([*clean, *some, (300, own[0]), (None, own[1])])
+    assert texts_after(corpus_pipeline.substring_cut, spark, clean + some + cut, tmp_path) == want
+    bad = [(300, f"{plain()} {item}"), (None, f"{item} {plain()}")]
+    assert texts_after(corpus_pipeline.decontamination, spark, clean + some + bad, tmp_path) == srt(clean + some)
