@@ -11,7 +11,7 @@ from the counts that predict it (c - 1 over n - 1).
 Counting works on blocks (blocks.py): each block sends the distinct hashes of its
 words and word pairs with their training counts to buckets, and gets the
 corpus's counts back in the same order.  What EM needs is a histogram of the
-estimates' ratios for each bucket of contexts, of fixed size whatever the corpus.
+estimates' ratios for each bucket of contexts, as wide as the logarithm of the corpus.
 
 Every text, null or empty too, has an end token; the first word's context is
 the begin of text.  Rows with equal doc_id are separate documents; rows with a
@@ -32,8 +32,7 @@ from . import blocks as B
 
 BEGIN, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 BUCKETS = 24  # of context counts: 0, 1, 2-3, 4-7, ...
-#: Bins of log2 of an estimate's ratio to the unigram estimate, in quarters; the first is for a ratio of 0.
-BINS, STEP, LOW = 161, 4, -60
+STEP = 4  # bins of an estimate's ratio to the uniform one, for each power of two
 ROUNDS = 50
 BLOCK_BYTES = 10 << 20  # the larger a block, the fewer units are distinct in it
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -80,7 +79,7 @@ class Tokens:
 
 
 def estimates(t: Tokens, c: np.ndarray, total: int, types: int, deleted: bool):
-    """Of each token: context bucket, ratio of its pair estimate to its unigram estimate, and of the uniform one to it.  deleted: without the token itself."""
+    """Of each token: context bucket, pair, unigram and uniform estimate.  deleted: without the token itself."""
     cw, cp, cc = (c[x].astype(np.float64) for x in (t.word, t.pair, t.context))
     one = 1.0 if deleted else 0.0
     bucket = np.minimum(np.floor(np.log2(cc - one + 1)), BUCKETS - 1).astype(np.int64)
@@ -89,16 +88,23 @@ def estimates(t: Tokens, c: np.ndarray, total: int, types: int, deleted: bool):
     return bucket, p2, p1, 1.0 / (types + 1)
 
 
-def binned(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(x > 0, np.clip(np.rint(STEP * np.log2(np.where(x > 0, x, 1))) - STEP * LOW // 3, 1, BINS - 1), 0).astype(np.int64)
+def bin_range(total: int, types: int) -> tuple[int, int]:
+    """Of the quarters of log2 that ratios to 1 / (types + 1) fall into, one below the lowest, and how many bins there are; no ratio but 0 is below (types + 1) / total or above types + 1."""
+    high = STEP * np.log2(types + 1)
+    low = int(np.floor(high - STEP * np.log2(max(total, 1)))) - 1
+    return low, int(np.ceil(high)) - low + 1
 
 
-def value_of(b: np.ndarray) -> np.ndarray:
-    return np.where(b > 0, 2.0 ** ((b + STEP * LOW // 3) / STEP), 0.0)
+def binned(x: np.ndarray, low: int, bins: int) -> np.ndarray:
+    """The first bin is for a ratio of 0."""
+    return np.where(x > 0, np.clip(np.rint(STEP * np.log2(np.where(x > 0, x, 1))) - low, 1, bins - 1), 0).astype(np.int64)
 
 
-def learned_weights(histogram: dict[tuple[int, int, int], int]) -> np.ndarray:
+def value_of(b: np.ndarray, low: int) -> np.ndarray:
+    return np.where(b > 0, 2.0 ** ((b + low) / STEP), 0.0)
+
+
+def learned_weights(histogram: dict[tuple[int, int, int], int], low: int) -> np.ndarray:
     """Weights (pair, unigram, uniform) for each bucket of contexts, by EM on (bucket, bin of pair/uniform, bin of unigram/uniform) counts."""
     weights = np.tile([0.4, 0.4, 0.2], (BUCKETS, 1))
     for k in range(BUCKETS):
@@ -107,7 +113,7 @@ def learned_weights(histogram: dict[tuple[int, int, int], int]) -> np.ndarray:
             weights[k] = weights[k - 1] if k else [0.0, 0.9, 0.1]
             continue
         b2, b1, n = (np.array(x) for x in zip(*mine, strict=True))
-        p = np.stack((value_of(b2), value_of(b1), np.ones(len(n))))
+        p = np.stack((value_of(b2, low), value_of(b1, low), np.ones(len(n))))
         w = weights[k]
         for _ in range(ROUNDS):
             share = w[:, None] * p
@@ -172,9 +178,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     sums = counted.mapInArrow(totals, "n long, types long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     total, types = int(sums[0]), int(sums[1])
+    low, width = bin_range(total, types)
 
     def gather(batches):
-        hashes, size = B.WordHashes(), BUCKETS * BINS * BINS
+        hashes, size = B.WordHashes(), BUCKETS * width * width
         got = np.zeros(size, np.int64)
         for block, counts in B.block_rows(batches, ("counts",)):
             t = Tokens(block, hashes)
@@ -182,14 +189,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             if not t.learn.any():
                 continue
             k, p2, p1, p0 = estimates(t, c, total, types, deleted=True)
-            at = (k * BINS + binned(p2 / p0)) * BINS + binned(p1 / p0)
+            at = (k * width + binned(p2 / p0, low, width)) * width + binned(p1 / p0, low, width)
             got += np.bincount(at[t.learn], minlength=size)
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], names=["bin", "n"])
 
-    bins = counted.mapInArrow(gather, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BUCKETS * BINS * BINS rows at most
-    histogram = {(r["bin"] // (BINS * BINS), r["bin"] // BINS % BINS, r["bin"] % BINS): r["n"] for r in bins}
-    weights = learned_weights(histogram)
+    bins = counted.mapInArrow(gather, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BUCKETS * width * width rows at most
+    histogram = {(r["bin"] // (width * width), r["bin"] // width % width, r["bin"] % width): r["n"] for r in bins}
+    weights = learned_weights(histogram, low)
 
     def score(batches):
         hashes = B.WordHashes()

@@ -208,6 +208,16 @@ def test_lm_base_scores(spark, docs):
     assert ngram_lm.lm_scores(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("total,types", [(50, 20), (10**6, 2 * 10**4), (2**36, 2**30), (2**45, 2**17)])
+def test_lm_bins_hold_every_ratio(total, types):
+    low, bins = ngram_lm.bin_range(total, types)
+    # from a single occurrence to a word that always follows
+    ratios = (types + 1) / np.array([total, total / 3, max(total / 1000, 1), 2.0, 1.0])
+    b = ngram_lm.binned(np.append(ratios, 0), low, bins)
+    assert b[-1] == 0 and 1 <= b[:-1].min() and b.max() < bins
+    assert ngram_lm.value_of(b, low)[:-1] == pytest.approx(ratios, rel=0.1)
+
+
 def test_toxicity_finds_the_lexicon(spark):
     r = random.Random(2)
     plain = lambda: " ".join(f"w{r.randint(0, 300)}" for _ in range(40))
