@@ -27,18 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(src, dst) pairs joined by a path of at least one and at most `most` edges, by doubling."""
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst) pairs joined by a path of at least one edge; the length of paths doubles until there are no new pairs."""
     now = _cut(edges.select("src", "dst").distinct())
-    n, length = now.count(), 1
-    while length < most:
+    n = now.count()
+    while True:
         step = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         now = _cut(now.union(step).distinct())
         m = now.count()
         if m == n:
-            break
-        n, length = m, length * 2
-    return now
+            return now
+        n = m
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:

@@ -63,6 +63,12 @@ def test_overlapping_chunks_keep_every_line(spark):
     assert chunks[0] + [x for c in chunks[1:] for x in c[2:]] == lines
 
 
+def test_long_cycles(spark):
+    rings = [(100 + i, 100 + (i + 1) % 80) for i in range(80)] + [(1000 + i, 1000 + (i + 1) % 150) for i in range(150)]
+    edges = spark.createDataFrame([*rings, (101, 1000), (1, 100)], "src long, dst long")
+    assert {(r.node, r.cycle) for r in graphs.cycle_nodes(edges).collect()} == {(a, 100 if a < 1000 else 1000) for a, _ in rings}
+
+
 def test_cycles_and_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f"), ("f", "e"), ("g", "g")], "src string, dst string")
     assert {(r.node, r.cycle) for r in graphs.cycle_nodes(edges).collect()} >= {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e"), ("f", "e")}
