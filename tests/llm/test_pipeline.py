@@ -1,6 +1,10 @@
 import random
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from stratalith.llm import blocks
+from stratalith.llm.token_ids import vocabulary
 
 
 def test_stages_keep_columns_and_drop_bad_documents(spark):
@@ -48,3 +52,91 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert texts_after(corpus_pipeline.substring_cut, spark, clean + some + cut, tmp_path) == want
     bad = [(300, f"{plain()} {item}"), (None, f"{item} {plain()}")]
     assert texts_after(corpus_pipeline.decontamination, spark, clean + some + bad, tmp_path) == srt(clean + some)
+
+
+def shingles(t):
+    w = t.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def plain_near_duplicates(rows):
+    """Rows but the first of each component of pairs with a similarity of 0.8."""
+    sets, first = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                first[max(x, y)] = min(x, y)
+    return [row for k, row in enumerate(rows) if find(k) == k]
+
+
+def plain_cuts(rows):
+    seen, out = {}, []
+    for k, (i, t) in enumerate(rows):
+        w = t.split()
+        gone = [False] * len(w)
+        for p in range(len(w) - 12):
+            if seen.setdefault(tuple(w[p : p + 13]), k) < k:
+                gone[p : p + 13] = [True] * 13
+        if not any(gone):
+            out.append((i, t))
+        elif not all(gone):
+            out.append((i, " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+def plain_alignment(a, b):
+    h, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, h[j] + (2 if x == y else -1), h[j + 1] - 1, new[j] - 1))
+        h, best = new, max(best, max(new))
+    return best
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    r = random.Random(12)
+    word = lambda: r.choice(("the", "of", "and", "in")) if r.random() < 0.3 else f"w{r.randint(0, 600)}"
+    plain = lambda n=60: [word() for _ in range(n)]
+    edited = lambda w, share: [f"x{r.randint(0, 9)}" if r.random() < share else x for x in w]
+    items = {i: plain(n) for i, n in enumerate((20, 30, 40, 60))}
+    insult = ["you", "idiot", "moron"]
+    rows = [(i, plain() + insult * (i % 5 == 0)) for i in range(200)]
+    clean = [w for i, w in rows if i % 5]
+    for k in range(12):
+        rows.append((300 + k, edited(clean[k], 0.01)))  # near copies
+        rows.append((300 + k // 2, plain(20) + clean[20 + k][10:40] + plain(20)))  # repeated passages, repeated ids
+        rows.append((None if k % 3 else 400 + k, clean[40 + k][:30]))  # nothing of their own
+    for k, w in items.items():
+        rows.append((500 + k, plain(30) + w + plain(30)))
+        rows.append((510 + k, plain(30) + w[: len(w) // 2 + 1] + plain(30)))
+        rows += [(520 + 10 * k + c, plain(30) + edited(w, share) + plain(30)) for c, share in enumerate((0.1, 0.15, 0.2, 0.25))]
+        rows.append((None, plain(10) + edited(w, 0.1)))
+    rows += [(None, plain()), (None, plain() + insult), (600, []), (601, plain(4))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, t, len(t)) for i, t in rows], SCHEMA).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+    want = sorted((x for x in rows if "idiot" not in x[1].split()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    n = [len(rows), len(want)]
+    for step in (plain_near_duplicates, plain_cuts, lambda rows: [x for x in rows if not any(plain_alignment(w, x[1].split()) >= min(len(w), 30) for w in items.values())]):
+        want = step(want)
+        n.append(len(want))
+    assert n[0] > n[1] > n[2] >= n[3] > n[4]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = blocks.stored(stage(spark, docs, sf), "stage")
+    assert sorted(((x.doc_id, x.text) for x in docs.collect()), key=str) == sorted(want, key=str)
+    end = Tokenizer.from_file(vocabulary())
+    tokens = sorted((str(i), len(end.encode(t, add_special_tokens=False).ids) + 1) for i, t in want)
+    starts = corpus_pipeline.run(spark, sf).filter("start = 0").collect()
+    assert sorted((str(x.doc_id), x.doc_tokens) for x in starts) == tokens
