@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur in an earlier document, by longest-previous-factor arrays.
+"""Removal of byte strings that occur in an earlier document, by ties in suffix order.
 
 A byte goes if a string of WIDTH bytes that covers it also starts in a document
 with a smaller doc_id.  Whether it does is whether the place's longest previous
@@ -13,8 +13,8 @@ could match meet in one bucket.
    GRAM-byte runs in it.  Anchors that only one document has are settled too.
 3. *Suffix order.*  What is around the remaining anchors is sent to the anchor's
    bucket, its suffixes are ordered there by prefix doubling as far as WIDTH
-   bytes, and in that order the previous smaller value (the document number is
-   the value) tells whether an earlier match reaches WIDTH.  An anchor in very
+   bytes, and of those that tie, all but the smallest document's have an earlier
+   match that reaches WIDTH; no lengths of previous factors are computed.  An anchor in very
    many places sends its strings one by one to the buckets of their own hashes.
 
 Null text counts as empty; rows with equal doc_id are documents of equal age;
