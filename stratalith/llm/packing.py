@@ -110,6 +110,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: i
             held = np.concatenate((held, tokens))
             if (rows := flush(False)) is not None:
                 yield rows
+        words.clear()
         if len(held) and (rows := flush(True)) is not None:
             yield rows
 

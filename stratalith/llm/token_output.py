@@ -122,6 +122,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
         for k, (ids, texts) in enumerate(groups_of_rows(batches, CHUNK_BYTES)):
             tokens, counts = words.encode(texts, end)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([pack_chunk(ids, counts, tokens)], pa.binary())], names=["shard", "chunk", "payload"])
+        words.clear()
 
     in_order(docs).mapInArrow(encode, "shard int, chunk int, payload binary").write.option("compression", "none").parquet(path)
 
