@@ -1,25 +1,26 @@
-"""Removal of byte strings that occur in an earlier document, by ties in suffix order.
+"""Removal of byte strings that occur in an earlier document, by longest previous factors.
 
 A byte goes if a string of WIDTH bytes that covers it also starts in a document
-with a smaller doc_id.  Whether it does is whether the place's longest previous
-factor, counted over earlier documents alone, reaches WIDTH.  A suffix array of
-the whole corpus is never built: the suffixes are dealt out so that all that
-could match meet in one bucket.
+with a smaller doc_id: if the place's longest previous factor, counted over
+earlier documents alone, reaches WIDTH.  A suffix array of the whole corpus is
+never built: the suffixes are dealt out so that all that could match by WIDTH
+bytes meet in one bucket.
 
 1. *Chunks.*  Cut points that depend on the content split each document; pairs of
    neighbouring chunks are compared by 128-bit hashes.  What lies in a pair that
    an earlier document has is settled, which covers most of any long copy.
 2. *Anchors.*  Of the other strings, each has an anchor, the smallest hash of the
    GRAM-byte runs in it.  Anchors that only one document has are settled too.
-3. *Suffix order.*  What is around the remaining anchors is sent to the anchor's
-   bucket, its suffixes are ordered there by prefix doubling as far as WIDTH
-   bytes, and of those that tie, all but the smallest document's have an earlier
-   match that reaches WIDTH; no lengths of previous factors are computed.  An anchor in very
+3. *Previous factors.*  What is around the remaining anchors is sent to the anchor's
+   bucket.  Its suffixes are ordered there by their first WIDTH bytes, with the
+   lengths that neighbours share.  The nearest suffixes before and after each one
+   in that order that are of a smaller document (the previous and next smaller
+   places) give its longest previous factor, of up to WIDTH bytes.  An anchor in very
    many places sends its strings one by one to the buckets of their own hashes.
 
 Null text counts as empty; rows with equal doc_id are documents of equal age;
-rows with a null doc_id are left out; further columns are ignored; an empty
-table gives an empty result.
+rows with a null doc_id are newer than all others; further columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import blocks as B
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 24
 CHUNK_MASK = 255  # a cut every 256 bytes on average
 HOT = 4096  # contexts of one anchor, over all blocks, from which on it is dealt out by whole strings
 BLOCK_BYTES = 2 << 20
@@ -47,52 +48,77 @@ def words8(data: bytes) -> np.ndarray:
     return np.ndarray((len(data),), ">u8", buf, strides=(1,)).astype(np.uint64)
 
 
-def grams16(data: bytes) -> np.ndarray:
+def grams(data: bytes) -> np.ndarray:
+    """A hash of the GRAM (three times eight) bytes from each place on."""
     v = words8(data)
     n = max(0, len(data) - GRAM + 1)
-    a, b = v[:n], v[8 : 8 + n]
-    return B.mixed(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
+    a, b, c = v[:n], v[8 : 8 + n], v[16 : 16 + n]
+    h = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return B.mixed(h ^ (h >> np.uint64(32)) ^ (c * np.uint64(0x9FB21C651E98DF25)))
 
 
-def previous_factor_reaches(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places whose longest previous factor reaches the depth to which rank orders the suffixes.
-
-    In suffix order, with ties by document, the previous smaller value of a place
-    that is not the first of its tie is in the tie, so that their common prefix
-    has the full depth; for the first one, both neighbours with smaller values
-    are outside the tie and share less.
-    """
-    order = np.lexsort((doc, rank))
-    r, d = rank[order], doc[order]
-    new = np.ones(len(r), bool)
-    new[1:] = r[1:] != r[:-1]
-    first = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
-    out = np.zeros(len(r), bool)
-    out[order] = d > first
+def equal_bytes(x: np.ndarray) -> np.ndarray:
+    """How many leading bytes are zero in each 64-bit number."""
+    out = np.zeros(len(x), np.int64)
+    for k in range(8):
+        out += x < np.uint64(1 << (8 * k)) if k else x == 0
     return out
 
 
-def dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.zeros(len(s), np.uint64)
-    new[1:] = s[1:] != s[:-1]
-    out = np.empty(len(s), np.uint64)
-    out[order] = np.cumsum(new, dtype=np.uint64)
-    return out
-
+def suffix_order(data: bytes, at: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at these places by their first `width` bytes, then by doc; and how many of these bytes each shares with the one before it.
 
-def suffix_ranks(data: bytes, width: int) -> np.ndarray:
-    """Rank of each place's suffix in the order of their first `width` (at least 16) bytes, by prefix doubling."""
+    Eight bytes are compared at a time, and only suffixes that are still tied are
+    ordered further.  No suffix may be shorter than `width`.
+    """
     v = words8(data)
-    shifted = lambda r, k: np.concatenate((r[k:], np.zeros(min(k, len(r)), r.dtype)))
-    high, low = dense(v), dense(shifted(v, 8))
-    r, depth = dense((high << np.uint64(32)) | low), 16
-    while depth < width:
-        step = min(depth, width - depth)
-        r = dense((r << np.uint64(32)) | shifted(r, step))
-        depth += step
-    return r
+    first = v[at]
+    order = np.argsort(first)
+    s = first[order]
+    common = np.zeros(len(at), np.int64)
+    common[1:] = np.minimum(equal_bytes(s[1:] ^ s[:-1]), width)
+    depth = 8
+    while True:
+        tied = common >= min(depth, width)
+        inside = tied.copy()
+        inside[:-1] |= tied[1:]
+        idx = np.flatnonzero(inside)
+        mine = order[idx]
+        group = np.cumsum(~tied)[idx]
+        if depth >= width:
+            order[idx] = mine[np.lexsort((doc[mine], group))]
+            return order, common
+        w = v[at[mine] + depth]
+        if width - depth < 8:
+            w = w >> np.uint64(8 * (8 - width + depth)) << np.uint64(8 * (8 - width + depth))
+        sub = np.lexsort((w, group))
+        order[idx], w = mine[sub], w[sub]
+        same = np.flatnonzero(group[1:] == group[:-1]) + 1
+        common[idx[same]] = depth + np.minimum(equal_bytes(w[same] ^ w[same - 1]), width - depth)
+        depth += 8
+
+
+def smaller_before(doc: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order: what each suffix shares with the nearest one before it that has a smaller document; 0 if there is none.
+
+    All places look back at once.  One whose candidate isn't smaller goes on to that
+    one's own candidate, as everything between the two is no smaller either.
+    """
+    back, share = np.arange(-1, len(doc) - 1), common.copy()
+    todo = np.arange(len(doc))
+    while True:
+        todo = todo[back[todo] >= 0]
+        todo = todo[doc[back[todo]] >= doc[todo]]
+        if not len(todo):
+            return np.where(back >= 0, share, 0)
+        at = back[todo]
+        share[todo], back[todo] = np.minimum(share[todo], share[at]), back[at]
+
+
+def previous_factors(doc: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order: the length of each suffix's longest previous factor in a smaller document, from the previous and the next smaller place."""
+    after = smaller_before(doc[::-1], np.append(0, common[:0:-1])[: len(doc)])[::-1]
+    return np.maximum(smaller_before(doc, common), after)
 
 
 class Strings:
@@ -100,7 +126,7 @@ class Strings:
 
     def __init__(self, block: B.Block, width: int):
         self.block, self.width, data = block, width, block.data
-        self.g = grams16(data)
+        self.g = grams(data)
         n = max(0, len(data) - width + 1)
         self.row = np.repeat(np.arange(len(block.ids), dtype=np.int32), block.ends - block.starts)
         self.valid = self.row[:n] == self.row[width - 1 : width - 1 + n]
@@ -211,17 +237,20 @@ def judge_pairs(blobs: list[bytes], _) -> list[bytes]:
     return [B.answer(x) for x in np.split(older, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
-def judge_anchors(blobs: list[bytes], _) -> list[bytes]:
-    parts = []
-    for x in blobs:
-        a, b = B.parted(x, 2)
-        parts.append((B.unpacked_sorted(a), B.unpacked(b, np.uint32)))
-    h, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    values, of, times = np.unique(h, return_inverse=True, return_counts=True)
-    total = np.bincount(of, weights=n, minlength=len(values))
-    kind = (times > 1).astype(np.uint8)
-    kind[total > HOT] = 2
-    return [B.answer(x) for x in np.split(kind[of], np.cumsum([len(p[0]) for p in parts])[:-1])]
+def anchor_judge(hot: int):
+    def judge(blobs: list[bytes], _) -> list[bytes]:
+        parts = []
+        for x in blobs:
+            a, b = B.parted(x, 2)
+            parts.append((B.unpacked_sorted(a), B.unpacked(b, np.uint32)))
+        h, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        values, of, times = np.unique(h, return_inverse=True, return_counts=True)
+        total = np.bincount(of, weights=n, minlength=len(values))
+        kind = (times > 1).astype(np.uint8)
+        kind[total > hot] = 2
+        return [B.answer(x) for x in np.split(kind[of], np.cumsum([len(p[0]) for p in parts])[:-1])]
+
+    return judge
 
 
 def context_judge(width: int):
@@ -256,8 +285,10 @@ def context_judge(width: int):
             m = n[one][open_]
             k = m - width + 1
             at = np.repeat(np.cumsum(m) - m - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            rank = suffix_ranks(b"".join(texts[i] for i in one[open_].tolist()), width)[at]
-            hit = previous_factor_reaches(rank, np.repeat(first[open_], k))
+            doc = np.repeat(first[open_], k)
+            order, common = suffix_order(b"".join(texts[i] for i in one[open_].tolist()), at, doc, width)
+            hit = np.empty(len(at), bool)
+            hit[order] = previous_factors(doc[order], common) >= width
             partial[np.repeat(begin[open_] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))] = hit
         k = n - width + 1
         flags = partial[np.repeat(begin[of] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))] | np.repeat(d > first[of], k)
@@ -266,12 +297,15 @@ def context_judge(width: int):
     return judge
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
-    """Removes each byte covered by a string of `width` bytes (17 or more) that starts in an earlier document too.  Returns RESULT."""
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True, hot: int = HOT, block_bytes: int = BLOCK_BYTES, bits: int | None = None) -> DataFrame:
+    """Removes each byte covered by a string of `width` bytes (25 or more) that starts in an earlier document too.  Returns RESULT.
+
+    hot: places of an anchor from which on its strings are dealt out one by one;
+    bits: of the number of buckets, which else follows the size of the texts."""
     if width <= GRAM:
         raise ValueError(f"width must be over {GRAM}")
-    blocks = B.blocks_of(docs, BLOCK_BYTES)
-    bits = B.bucket_bits(blocks)
+    blocks = B.blocks_of(docs, block_bytes)
+    bits = bits or B.bucket_bits(blocks)
 
     def send_pairs(batches):
         for (block,) in B.block_rows(batches):
@@ -304,7 +338,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> Dat
                 yield B.entry_batch(rows)
 
     one = B.with_answers(blocks, "chunks", B.answers(blocks.mapInArrow(send_pairs, B.ENTRIES), judge_pairs))
-    two = B.with_answers(one, "shared", B.answers(one.mapInArrow(send_anchors, B.ENTRIES), judge_anchors))
+    two = B.with_answers(one, "shared", B.answers(one.mapInArrow(send_anchors, B.ENTRIES), anchor_judge(hot)))
     three = B.with_answers(two, "factors", B.answers(two.mapInArrow(send_contexts, B.ENTRIES), context_judge(width)))
 
     def finish(batches):
@@ -331,9 +365,9 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> Dat
                 mine = gone[a:b]
                 n = int(mine.sum())
                 kept = raw[a:b][~mine].tobytes() if n else block.data[a:b]
-                out.append((int(block.ids[i]), b - a, n, len(B.runs(mine)[0]) if n else 0, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                out.append((b - a, n, len(B.runs(mine)[0]) if n else 0, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([B.id_array(block.ids), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return three.mapInArrow(finish, RESULT)
 
