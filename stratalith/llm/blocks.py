@@ -29,23 +29,29 @@ ANSWERS = "block long, bucket int, answer binary"
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 
 
+#: The doc_id of rows that have none: the newest of all.
+NULL_ID = 2**63 - 1
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for a table, below the checkpoint folder that all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = at.get() if at.isDefined() else None
-    if not top:  # only in tests: one machine
+    if not top and spark.sparkContext.master.startswith("local"):  # one machine: its disk is shared by all there is
         import tempfile
 
         top = "file://" + tempfile.mkdtemp(prefix="stratalith-")
         spark.sparkContext.setCheckpointDir(top)
+    if not top:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage."""
-    path = shared_dir(df.sparkSession, name)
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df, written to the shared folder (or a path) and read back: cuts the lineage."""
+    path = path or shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -97,8 +103,9 @@ class Block:
             yield self.data[a:b]
 
 
-def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "blocks") -> DataFrame:
-    """Writes docs (doc_id, text) as blocks.  A null text counts as empty; a null doc_id can't be kept."""
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, path: str | None = None, first: int = 0) -> DataFrame:
+    """Writes docs (doc_id, text) as blocks with numbers from `first` on, to a path or a new folder.  A null text counts as empty, a null doc_id as NULL_ID."""
+
     def pack(batches):
         from pyspark import TaskContext
 
@@ -111,7 +118,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "bloc
             nonlocal ids, texts, held, count
             order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
             row = {
-                "block": (part << 32) + count,
+                "block": first + (part << 32) + count,
                 "raw": held,
                 "ids": np.array([ids[i] for i in order], np.int64).tobytes(),
                 "lens": np.array([len(texts[i]) for i in order], np.int64).tobytes(),
@@ -133,8 +140,13 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "bloc
         if ids:
             yield out()
 
-    two = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    return stored(two.mapInArrow(pack, BLOCKS), name)
+    two = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    return stored(two.mapInArrow(pack, BLOCKS), "blocks", path)
+
+
+def id_array(ids: np.ndarray) -> pa.Array:
+    """doc_ids as they were, null again where they were null."""
+    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
 def block_rows(batches, extra: tuple[str, ...] = ()) -> Iterator[tuple]:
@@ -214,6 +226,9 @@ BYTE_NUMBERS = np.random.default_rng(20240301).integers(0, 2**64, 256, np.uint64
 PLACE_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so that places differ in all but their lowest bits
 SPACES = [0x20, *range(0x09, 0x0E)]
 BYTE_NUMBERS[SPACES] = 0
+#: Others, for a second hash of the same words that owes nothing to the first.
+OTHER_NUMBERS = np.random.default_rng(20240302).integers(0, 2**64, 256, np.uint64)
+OTHER_NUMBERS[SPACES] = 0
 FOLDED_NUMBERS = BYTE_NUMBERS.copy()
 FOLDED_NUMBERS[65:91] = BYTE_NUMBERS[97:123]
 IN_WORD = np.ones(256, bool)
@@ -247,14 +262,14 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts, ends, np.diff(np.searchsorted(starts, bounds, side="right"))
 
 
-def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the texts' words, one text after the other, and how many each has; fold: A-Z as a-z.
+def word_hashes(texts: list[bytes], fold: bool = False, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words, one text after the other, and how many each has; fold: A-Z as a-z; other: by OTHER_NUMBERS.
 
     Works piece by piece, so memory stays in proportion to the texts."""
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data, starts, _, counts = word_spans(texts)
-    numbers = FOLDED_NUMBERS if fold else BYTE_NUMBERS
+    numbers = OTHER_NUMBERS if other else FOLDED_NUMBERS if fold else BYTE_NUMBERS
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):

@@ -15,7 +15,7 @@ estimates' ratios for each bucket of contexts, as wide as the logarithm of the c
 
 Every text, null or empty too, has an end token; the first word's context is
 the begin of text.  Rows with equal doc_id are separate documents; rows with a
-null doc_id are left out; further columns are ignored; an empty table gives an
+null doc_id are learned from and scored; further columns are ignored; an empty table gives an
 empty result; with nothing to learn from, all estimates are 1 / (V + 1).
 """
 
@@ -40,19 +40,19 @@ MODULUS, HELD_OUT = 7, 2
 
 
 def held_out(ids: np.ndarray, modulus: int = MODULUS, rest: int = HELD_OUT) -> np.ndarray:
-    return np.array([zlib.crc32(b"%d" % i) % modulus == rest for i in ids.tolist()], bool)
+    return np.array([i != B.NULL_ID and zlib.crc32(b"%d" % i) % modulus == rest for i in ids.tolist()], bool)
 
 
 class Tokens:
     """Words and word pairs of a block, as places in the sorted distinct hashes of both."""
 
-    def __init__(self, block: B.Block, hashes: B.WordHashes):
-        words = [t.lower().split() for t in block.texts()]
-        self.n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        x = B.mixed(hashes.of([w for ws in words for w in ws]))
+    def __init__(self, block: B.Block):
+        x, counts = B.word_hashes(list(block.texts()), fold=True)
+        x = B.mixed(x)
+        self.n = counts + 1
         stops = np.cumsum(self.n)
         total = int(stops[-1]) if len(stops) else 0
-        self.row = np.repeat(np.arange(len(words)), self.n)
+        self.row = np.repeat(np.arange(len(counts), dtype=np.int32), self.n)
         last = np.zeros(total, bool)
         last[stops - 1] = True
         word = np.full(total, END_HASH)
@@ -129,9 +129,8 @@ def count_units(blocks: DataFrame) -> DataFrame:
     bits = B.bucket_bits(blocks)
 
     def send(batches):
-        hashes = B.WordHashes()
         for (block,) in B.block_rows(batches):
-            t = Tokens(block, hashes)
+            t = Tokens(block)
             rows = [(b, block.number, B.joined(B.packed_sorted(t.hashes[i:j]), B.packed(t.counts[i:j]), np.packbits(t.is_word[i:j]).tobytes())) for b, i, j in B.bucket_slices(t.hashes, bits)]
             if rows:
                 yield B.entry_batch(rows)
@@ -181,10 +180,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     low, width = bin_range(total, types)
 
     def gather(batches):
-        hashes, size = B.WordHashes(), BUCKETS * width * width
+        size = BUCKETS * width * width
         got = np.zeros(size, np.int64)
         for block, counts in B.block_rows(batches, ("counts",)):
-            t = Tokens(block, hashes)
+            t = Tokens(block)
             c, _ = counts_of(counts)
             if not t.learn.any():
                 continue
@@ -199,9 +198,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     weights = learned_weights(histogram, low)
 
     def score(batches):
-        hashes = B.WordHashes()
         for block, counts in B.block_rows(batches, ("counts",)):
-            t = Tokens(block, hashes)
+            t = Tokens(block)
             c, _ = counts_of(counts)
             k, p2, p1, p0 = estimates(t, c, total, types, deleted=False)
             w = weights[k]
@@ -210,7 +208,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             rows = len(block.ids)
             add = lambda x: np.bincount(t.row, weights=x, minlength=rows)
             known = add(c[t.word] > 0).astype(np.int64)
-            cols = [pa.array(block.ids), pa.array(t.out), pa.array(t.n), pa.array(known), pa.array(np.full(rows, total)), pa.array(add(base)), pa.array(add(logp))]
+            cols = [B.id_array(block.ids), pa.array(t.out), pa.array(t.n), pa.array(known), pa.array(np.full(rows, total)), pa.array(add(base)), pa.array(add(logp))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return counted.mapInArrow(score, RESULT)
