@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on texts that hold the awkward cases."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -61,16 +62,48 @@ def test_index_in_batches_equals_one_run(spark, tmp_path):
     got = set()
     for lo, hi in ((0, 20), (20, 45), (45, 60)):
         batch = spark.createDataFrame(rows[lo:hi], "doc_id long, text string")
-        got |= {tuple(r)[:4] for r in substring_dedup.substring_dedup(batch, index=index).collect()}
+        got |= {tuple(r)[:4] for r in substring_dedup.substring_dedup(batch, index=index, block_bytes=2000).collect()}
         if lo == 20:
-            index = index.compact()
+            index.compact(run_bytes=50)  # small, so that the buckets split
+            assert len(index.runs) == 1 and index.bits > 3
     whole = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got == {tuple(r)[:4] for r in substring_dedup.substring_dedup(whole).collect()}
+    want = {tuple(r)[:4] for r in substring_dedup.substring_dedup(whole).collect()}
+    assert got == want
+    # opened again, the index knows all of it
+    again = substring_dedup.FingerprintIndex(spark, index.path, bits=3)
+    assert (again.runs, again.bits, len(again.batches)) == (index.runs, index.bits, 3)
+    late = substring_dedup.substring_dedup(spark.createDataFrame([(999, rows[8][1])], "doc_id long, text string"), index=again, learn=False)
+    assert [(r.n_words, r.n_removed) for r in late.collect()] == [(400, 400)]
+    assert len(again.runs) == 2
+
+
+def test_index_after_a_crash(spark, tmp_path, monkeypatch):
+    rows, index = sample(), substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", bits=3)
+    one, two = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:30], rows[30:]))
+    substring_dedup.substring_dedup(one, index=index)
+    monkeypatch.setattr(index, "commit", lambda *a: 1 / 0)  # the run is written, but not named
+    with pytest.raises(ZeroDivisionError):
+        substring_dedup.substring_dedup(two, index=index)
+    index = substring_dedup.FingerprintIndex(spark, index.path, bits=3)
+    assert len(index.runs) == 1
+    got = {tuple(r)[:4] for r in substring_dedup.substring_dedup(two, index=index).collect()}
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got == {tuple(r)[:4] for r in substring_dedup.substring_dedup(whole).collect() if r.doc_id >= rows[30][0]}
+
 
+def test_batches_with_null_and_repeated_ids(spark, tmp_path):
+    text = " ".join(f"v{i}" for i in range(30))
+    rows = [(None, text), (5, text), (5, text), (1, "a b"), (None, None), (9, text + " more")]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n_words string")
+    want = [(1, 2, 0), (5, 30, 0), (5, 30, 0), (9, 31, 30), (None, 0, 0), (None, 30, 30)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/i")
+    for out in (substring_dedup.substring_dedup(docs), substring_dedup.in_batches(docs, index, 3)):
+        assert sorted((tuple(r)[:3] for r in out.collect()), key=key) == sorted(want, key=key)
 
-@pytest.mark.parametrize("hot", [1, 4096])
-def test_suffix_dedup(spark, docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+
+@pytest.mark.parametrize("hot,block,bits", [(1, 1500, 6), (4096, 1500, 6), (4096, 2 << 20, None)])
+def test_suffix_dedup(spark, docs, hot, block, bits):
     first, want = {}, set()
     for i, t in sample():
         w = (t or "").encode()
@@ -81,10 +114,35 @@ def test_suffix_dedup(spark, docs, hot, monkeypatch):
         kept = bytes(x for x, g in zip(w, gone) if not g)
         spans = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
         want.add((i, len(w), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    assert {tuple(r)[:5] for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+    assert {tuple(r)[:5] for r in suffix_dedup.suffix_dedup(docs, hot=hot, block_bytes=block, bits=bits).collect()} == want
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    text = "".join(f"<{i}>" for i in range(40))
+    rows = [(None, text), (5, text), (5, text), (1, "a b"), (None, None), (9, text + " more")]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(text)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted([(0, n, n), (0, 0, 0), (5, n, 0), (5, n, 0), (1, 3, 0), (9, n + 5, n)])
+
+
+def test_previous_factors_by_brute_force():
+    r = random.Random(1)
+    for _ in range(300):
+        w, n = r.choice([17, 20, 24, 33, 50]), r.randint(1, 80)
+        data = b"".join(bytes(r.choice(b"ab") for _ in range(5)) * 30 if r.random() < 0.5 else bytes(r.choice(b"ab") for _ in range(60)) for _ in range(r.randint(1, 5)))
+        at = np.array(sorted(r.sample(range(len(data) - w + 1), min(n, len(data) - w + 1))))
+        doc = np.array([r.randint(0, 6) for _ in at])
+        order, common = suffix_dedup.suffix_order(data, at, doc, w)
+        own = [data[i : i + w] for i in at[order]]
+        assert own == sorted(own)
+        share = lambda x, y: len(os.path.commonprefix([x, y]))
+        assert common.tolist() == [0, *(share(x, y) for x, y in zip(own, own[1:]))]
+        d = doc[order]
+        want = [max((share(own[i], own[j]) for j in range(len(own)) if d[j] < d[i]), default=0) for i in range(len(own))]
+        assert suffix_dedup.previous_factors(d, common).tolist() == want
+
+
 def shingles(t, n):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
