@@ -13,8 +13,8 @@
    posterior labels.  It scores every document.
 
 Only text is an input of a score.  Null text counts as empty and gets the score
-that no feature gives; rows with equal doc_id are scored each by itself (their label
-is taken once, the largest); rows with a null doc_id are scored and not learned
+that no feature gives; rows with equal doc_id are scored each by itself (learned from once,
+with the largest label and the smallest text); rows with a null doc_id are scored and not learned
 from; further columns are ignored; without labels every score is PRIOR.
 """
 
@@ -203,10 +203,12 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict |
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2).groupBy("doc_id").agg(F.max("label").alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` rows at most, so it can be broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "label", F.lit(0).alias("one"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id")
+    # one row for each label: of rows with equal doc_id the smallest text
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).withColumn("one", F.lit(0))
 
     def train(table: pa.Table) -> pa.Table:
-        rows = sorted({r["doc_id"]: r for r in table.to_pylist()}.values(), key=lambda r: r["doc_id"])
+        rows = sorted(table.to_pylist(), key=lambda r: r["doc_id"])
         model = fit([r["text"] or "" for r in rows], [int(r["label"] > 0) for r in rows])
         model.pop("at", None)
         return pa.table({"model": pa.array([json.dumps(model)])})
