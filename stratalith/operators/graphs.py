@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.startswith("local"):  # one machine: its disk is shared by all there is
+            import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+            folder = "file://" + tempfile.mkdtemp()
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
