@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, confidence, embedding, matches, splitting
+from ..operators import compare, confidence, embedding, matches, splitting, summaries
 from ..operators.ddl import ddl_objects
 from ..operators.python_code import python_symbols
 from ..sources import store
@@ -361,3 +361,80 @@ def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of Python files, by their syntax trees."""
     files = code(spark, sf_dir).filter(F.col("path").endswith(".py"))
     return python_symbols(files).filter("kind = 'function'").select("path", "kind", "name")
+
+
+@query(
+    f"""WITH {_CODE}, f AS (SELECT CASE WHEN path LIKE '%.java' THEN 'Java' WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.sql' THEN 'SQL' ELSE 'other' END AS language, len(string_split(content, chr(10))) AS loc FROM code),
+    p AS (SELECT language, count(*) AS n, sum(loc) AS loc FROM f GROUP BY language)
+    SELECT CAST(sum(n) AS BIGINT) AS files, CAST(sum(loc) AS BIGINT) AS loc, concat('Files: ', sum(n), '; lines: ', sum(loc), '; languages: ', string_agg(concat(language, ' (', n, ')'), ', ' ORDER BY n DESC, language)) AS summary FROM p"""
+)
+def project_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project's summary in a sentence."""
+    p = F.col("path")
+    language = F.when(p.endswith(".java"), "Java").when(p.endswith(".py"), "Python").when(p.endswith(".sql"), "SQL").otherwise("other")
+    return summaries.project_summary(code(spark, sf_dir).select(language.alias("language"), F.size(F.split("content", "\n")).cast("long").alias("loc")))
+
+
+@query(
+    """SELECT n_nationkey AS id, concat('CONTEXT INFORMATION:', chr(10), 'Target stack: {"backend": "x"}', chr(10), 'Components: ', n_nationkey, chr(10), 'API endpoints: ', n_regionkey, chr(10), 'Database tables: 0',
+      CASE WHEN n_nationkey % 2 = 1 THEN concat(chr(10), 'Related context:', chr(10), substr(repeat(n_name, 100), 1, 600)) ELSE '' END) AS context FROM nation"""
+)
+def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context lines of prompts."""
+    related = F.when(F.col("n_nationkey") % 2 == 1, F.repeat("n_name", 100))
+    context = summaries.prompt_context({"backend": "x"}, F.col("n_nationkey"), F.col("n_regionkey"), F.lit(None).cast("long"), related)
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), context.alias("context"))
+
+
+_CALLS = "SELECT p_partkey AS k, concat('f', p_partkey, '.py') AS path, concat('def g', p_partkey, '(x):', chr(10), '  return g', p_partkey + 1, '(x) + g', p_partkey + 1, ' (1) + print(x)') AS content FROM part"
+
+
+@query("SELECT concat('f', a.p_partkey, '.py') AS src, concat('f', b.p_partkey, '.py') AS dst, concat('g', b.p_partkey) AS name, CAST(2 AS BIGINT) AS calls FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files call functions of which."""
+    files = run_sql(spark, sf_dir, _CALLS)
+    functions = files.select("path", F.concat(F.lit("g"), F.col("k").cast("string")).alias("name"), F.lit(0).alias("ordinal"))
+    return summaries.call_edges(files.select("path", "content"), functions)
+
+
+@query("SELECT concat('f', a.p_partkey) AS src, concat('f', b.p_partkey) AS dst, concat('C', b.p_partkey) AS name FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 WHERE a.p_partkey > 1")
+def inheritance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files' classes inherit from classes of which."""
+    k = F.col("p_partkey")
+    name = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    classes = table(spark, sf_dir, "part").select(name("f", k).alias("path"), name("C", k).alias("name"), F.when(k > 1, name("C", F.floor(k / 2))).alias("parent"), F.lit(0).alias("ordinal"))
+    return summaries.inheritance_edges(classes)
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_suppkey <> l_partkey % 50), n AS (SELECT src AS p FROM e UNION SELECT dst FROM e)
+    SELECT p AS path, (SELECT count(*) FROM e WHERE src = p) AS n_out, (SELECT count(*) FROM e WHERE dst = p) AS n_in, (SELECT count(*) FROM e x JOIN e y ON x.dst = y.src AND x.src = y.dst WHERE x.src = p) AS mutual,
+      CASE WHEN (SELECT count(*) FROM e WHERE src = p) >= 6 THEN 'High' WHEN (SELECT count(*) FROM e WHERE src = p) >= 3 THEN 'Medium' ELSE 'Low' END AS level FROM n"""
+)
+def file_dependency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each file: imports both ways, coupling, files that import each other."""
+    edges = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"))
+    return summaries.file_dependencies(edges)
+
+
+@query("SELECT unnest(['React', 'Python', 'Spring Boot']) AS technology")
+def fallback_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technologies by extension where none was sure."""
+    none = spark.createDataFrame([], "technology string")
+    java = spark.createDataFrame([("A.JAVA", "import org.Springframework")], "path string, content string")
+    return summaries.stack_fallback(code(spark, sf_dir).filter(~F.col("path").endswith(".java")).select("path", "content").unionByName(java), none)
+
+
+@query("SELECT p_name AS name, CASE WHEN lower(p_name) LIKE '%a%' THEN 'first' WHEN lower(p_name) LIKE '%e%' OR lower(p_name) LIKE '%o%' THEN 'second' ELSE 'general' END AS domain FROM part")
+def entity_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain of each entity."""
+    return summaries.grouped_entities(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), [("first", ("a",)), ("second", ("e", "o"))])
+
+
+@query("SELECT n_nationkey, n_regionkey, CASE n_nationkey % 3 WHEN 0 THEN concat('new ', n_name) ELSE n_name END AS n_name FROM nation")
+def overridden_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static results, where an override says more."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    k = F.col("n_nationkey") % 3
+    given = n.filter("n_nationkey % 4 > 0 or n_nationkey % 3 = 0").select("n_nationkey", F.when(k == 0, F.concat(F.lit("new "), "n_name")).when(k == 1, "").alias("n_name"))
+    return summaries.with_override(n, given, "n_nationkey", ["n_name"])

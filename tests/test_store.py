@@ -159,3 +159,27 @@ def test_comparisons_of_nothing(spark):
     assert compare.endpoint_comparison(none, some).first().modernization_score == 100
     targets = spark.createDataFrame([], "kind string, technology string")
     assert tuple(compare.migration_success(targets, some).first()) == ([], 0.0, True)
+
+
+def test_validators(spark):
+    from stratalith.operators.summaries import Validators, overall, recommendations_of
+
+    v = Validators()
+    v.register("files", lambda f: (f["files"].count() / 2, ["add files", "test more"]))
+    v.register("broken", lambda f: 1 / 0)
+    v.register("sure", lambda f: (1.0, ["test more"]))
+    rows, status = v.run(spark, {"files": spark.range(1)}, [("files", 0.6), ("broken", 0.5), ("sure", 0.9), ("unknown", 0.1)])
+    assert [(r.rule_type, r.status, r.passed) for r in rows.collect()] == [("files", "rejected", False), ("broken", "requires_review", False), ("sure", "approved", True), ("unknown", "requires_review", False)]
+    assert status == "rejected"
+    assert [r[0] for r in recommendations_of(rows).collect()] == ["add files", "test more", "Manual review required due to validation error"]
+    assert overall([]) == "approved" and overall([("security_check", 0.0, False)] + [("x", 1.0, True)] * 9) == "requires_review"
+
+
+def test_documentation_and_fallback(spark):
+    from stratalith.operators.summaries import documentation, stack_fallback
+
+    f = spark.createDataFrame([("a.py", "def f"), ("b.py", None)], "path string, content string")
+    names = spark.createDataFrame([("a.py", "B"), ("a.py", "A"), ("b.py", "A")], "path string, name string")
+    assert documentation(f, names, names.limit(0)).first()[0] == "# Codebase\n\nFiles: 2\n\nClasses: A, B\n\nFunctions: "
+    sure = spark.createDataFrame([("Go",)], "technology string")
+    assert [r[0] for r in stack_fallback(f, sure).collect()] == ["Go"] and [r[0] for r in stack_fallback(f, sure.limit(0)).collect()] == ["Python"]
