@@ -12,7 +12,7 @@ from .minhash_dedup import op5_minhash_dedup
 from .ngram_lm import op3_lm_scoring
 from .packing import op8_packing
 from .quality_rules import OP2_SQL, op2_quality_rules
-from .substring_dedup import op10_substring_dedup
+from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .token_output import op1_token_output
 from .toxicity import op6_toxicity
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_substring_dedup": OP10_SQL}

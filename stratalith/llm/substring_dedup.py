@@ -377,3 +377,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = max(4, int(np.ceil(np.log2(max(size / B.BUCKET_BYTES, 1)))))
     index = FingerprintIndex(spark, B.shared_dir(spark, "fingerprints"), bits)
     return in_batches(docs, index, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = rf"""
+WITH t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+s AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS win, count(*) OVER w AS n FROM t
+      WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+f AS (SELECT doc_id, pos, word, CAST(n = {WINDOW} AND min(doc_id) OVER (PARTITION BY win) < doc_id AS INTEGER) AS hit FROM s),
+c AS (SELECT doc_id, pos, word, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+a AS (SELECT doc_id, count(*) AS n, sum(gone) AS gone, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_words, CAST(coalesce(a.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
