@@ -106,7 +106,14 @@ def graph_cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.cycle_nodes(e)
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE r(start, path, cur, n) AS (SELECT n_nationkey, [n_nationkey], n_nationkey, 0 FROM nation WHERE n_nationkey < 5
+      UNION ALL SELECT start, list_append(path, (cur * 2 + 1) % 25), (cur * 2 + 1) % 25, n + 1 FROM r WHERE n < 6 AND NOT list_contains(path, (cur * 2 + 1) % 25))
+    SELECT start, CAST(n AS BIGINT) AS length, array_to_string(path, '>') AS path
+    FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, array_to_string(path, '>') DESC) AS k FROM r) x WHERE k = 1
+    """
+)
 def graph_longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest simple paths from five entry points."""
     n = table(spark, sf_dir, "nation")
