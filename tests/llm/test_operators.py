@@ -361,3 +361,66 @@ def test_chat_formatting(spark):
     t = spark.createDataFrame([(*r, "i") for r in rows], "conv_id long, turn long, role string, text string, i string")
     compare(chat_formatting.collapse_and_render(t), chat_formatting.OP4_SQL, conversations=t.select("conv_id", F.col("turn"), "role", "text"))
     assert {(r.conv_id, r.n_copies) for r in chat_formatting.collapse_and_render(t).collect()} == {(3, 1), (4, 2), (6, 1)}
+
+
+def plain_mixture(rows):
+    """Scores by the same estimates, with expectation-maximisation over single tokens in place of bins."""
+    from collections import Counter, defaultdict
+
+    docs = {i: [b"<s>", *(t or "").encode().lower().split(), b"</s>"] for i, t in rows}
+    train = {i: d for i, d in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    word, pair = Counter(), Counter()
+    for d in train.values():
+        word.update(d)
+        pair.update(zip(d, d[1:]))
+    total = sum(len(d) - 1 for d in train.values())
+    types = len(word) - 1  # the begin is no token
+
+    def estimates(v, w, one):
+        n = word[v] - one
+        return min(int(np.floor(np.log2(n + 1))), 23), np.array([(pair[v, w] - one) / n if n > 0 else 0.0, (word[w] - one) / max(total - one, 1), 1 / (types + 1)])
+
+    seen = defaultdict(list)
+    for d in train.values():
+        for v, w in zip(d, d[1:]):
+            k, p = estimates(v, w, 1)
+            seen[k].append(p)
+    weights = {}
+    for k in range(24):
+        if k not in seen:
+            weights[k] = weights[k - 1] if k else np.array([0.0, 0.9, 0.1])
+            continue
+        p, w = np.array(seen[k]), np.array([0.4, 0.4, 0.2])
+        for _ in range(50):
+            share = w * p
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        w = np.maximum(w, 1e-6)
+        weights[k] = w / w.sum()
+    out = {}
+    for i, d in docs.items():
+        each = [estimates(v, w, 0) for v, w in zip(d, d[1:])]
+        out[i] = sum(float(np.log10(weights[k] @ p)) for k, p in each)
+    return out
+
+
+def test_lm_mixture_by_plain_expectation_maximisation(spark, docs):
+    want = plain_mixture(sample())
+    got = {r.doc_id: r.score for r in ngram_lm.lm_scores(docs).collect()}
+    assert set(got) == set(want)
+    for i, s in want.items():
+        assert abs(got[i] - s) <= 0.01 * abs(s) + 0.01, (i, got[i], s)
+
+
+@pytest.mark.parametrize("every", [4, 5, 6, 8])
+def test_decontamination_finds_edited_copies(spark, every):
+    r = random.Random(every)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, [r.choice(words) for _ in range(30)]) for i in range(60)]
+    rows = []
+    for i, w in items:
+        copy = [f"new{k}" if k % every == every - 1 else x for k, x in enumerate(w)]
+        rows.append((i, " ".join([r.choice(words) for _ in range(40)] + copy + [r.choice(words) for _ in range(40)])))
+    rows += [(1000 + i, " ".join(r.choice(words) for _ in range(110))) for i in range(60)]  # clean ones
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(got & {(i, i) for i in range(60)}) >= 54 and not got - {(i, i) for i in range(60)}
