@@ -183,3 +183,23 @@ def test_documentation_and_fallback(spark):
     assert documentation(f, names, names.limit(0)).first()[0] == "# Codebase\n\nFiles: 2\n\nClasses: A, B\n\nFunctions: "
     sure = spark.createDataFrame([("Go",)], "technology string")
     assert [r[0] for r in stack_fallback(f, sure).collect()] == ["Go"] and [r[0] for r in stack_fallback(f, sure.limit(0)).collect()] == ["Python"]
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_nearest_vectors(spark, block):
+    from stratalith.operators.vectors import top_k
+
+    r = np.random.default_rng(4)
+    x = r.integers(-2, 3, (3000, 4)).astype(float)  # small numbers, so that there are many ties
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(5)] + [(77, None)], "query_id long, query array<float>")
+    got = {}
+    for row in top_k(queries, vectors, 7, block=block).collect():
+        got.setdefault(row.query_id, {})[row.place] = (row.vec_id, row.score)
+    want = {}
+    for i in range(5):
+        s = x @ x[i]
+        order = np.lexsort((np.arange(len(x)), -s))[:7]
+        want[i] = {p: (int(v), float(s[v])) for p, v in enumerate(order, 1)}
+    assert got == want
+    assert top_k(queries.limit(0), vectors, 3).count() == 0
