@@ -1,56 +1,94 @@
-"""Graph measures by iterated joins; rounds are cut by checkpoints in the shared folder."""
+"""Graph measures by iterated joins; rounds are cut by tables in the shared folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back.
+
+    A checkpoint would carry over what the optimizer derived of its columns, which
+    grows by powers over the rounds, and would compute df twice.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.startswith("local"):  # one machine: its disk is shared by all there is
-            import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = at.get() if at.isDefined() else None
+    if not folder and spark.sparkContext.master.startswith("local"):  # one machine: its disk is shared by all there is
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="stratalith-")
+        spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-            folder = "file://" + tempfile.mkdtemp()
-        if not folder:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+
+def _sources(edges: DataFrame, seed: int) -> DataFrame:
+    """(node, root): of the nodes that reach a node, itself included, the one of least priority; every node is an end of an edge.
+
+    A root reaches its node, so a root's own root does too: each round follows an
+    edge and then jumps there.  Priorities are hashes, whatever order the nodes were
+    named in; so long paths and rings take a number of rounds near the logarithm of their length.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    now = _cut(nodes.withColumn("root", F.struct(F.xxhash64("node", F.lit(seed)).alias("p"), F.col("node").alias("n"))))
+    while True:
+        low = edges.join(now, edges.src == now.node).groupBy("dst").agg(F.min("root").alias("low"))
+        step = now.join(low, now.node == low.dst, "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("low", "root")).alias("root"))
+        far = step.select(F.col("node").alias("at"), F.col("root").alias("far"))
+        new = _cut(step.join(far, F.col("root.n") == F.col("at")).select("node", "was", F.least("root", "far").alias("root")))
+        now = new.select("node", "root")
+        if new.filter("root <> was").isEmpty():
+            return now.select("node", F.col("root.n").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (src, dst), taken both ways, reach; isolated nodes must come as loops."""
     both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    now = _cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    while True:
-        low = both.join(now, both.dst == now.node).groupBy("src").agg(F.min("component").alias("low"))
-        new = _cut(now.join(low, now.node == low.src, "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("low", "component")).alias("component")))
-        now = new.select("node", "component")
-        if new.filter("component <> was").isEmpty():
-            return now
+    found = _sources(both, 0)
+    return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """(src, dst) pairs joined by a path of at least one edge; the length of paths doubles until there are no new pairs."""
-    now = _cut(edges.select("src", "dst").distinct())
-    n = now.count()
-    while True:
-        step = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        now = _cut(now.union(step).distinct())
-        m = now.count()
-        if m == n:
-            return now
-        n = m
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node, cycle): nodes on a directed cycle, named by the smallest node of their strongly connected component.
 
+    Nodes that share the root that reaches them and the root that they reach, with
+    both the same, are a component; the rest goes on with the edges between nodes that
+    share both.  State is a row a node, never one a pair.
+    """
+    left = _cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    loops = left.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle"))
+    left, found, seed = left.filter("src <> dst"), None, 0
+    while not left.isEmpty():
+        # what nothing leads to, or what leads nowhere, lies on no cycle
+        left = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        ahead = _sources(left, seed)
+        inside = _within(left, ahead)
+        back = _sources(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seed).withColumnRenamed("root", "other")
+        marks = _cut(ahead.join(back, "node"))
+        same = marks.filter("root = other")
+        names = same.groupBy("root").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).filter("n > 1")
+        got = _cut(same.join(names, "root").select("node", "cycle"))
+        found = got if found is None else found.union(got)
+        left = _cut(_within(inside, marks.filter("root <> other").select("node", F.struct("root", "other").alias("root"))))
+        seed += 1
+    if found is None:
+        return loops
+    return found.union(loops.join(found, "node", "left_anti"))
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node, cycle): nodes on a directed cycle, named by the smallest node of their strongly connected component."""
-    r = _cut(reachable(edges))
-    back = r.alias("x").join(r.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src")))
-    return back.groupBy(F.col("x.src").alias("node")).agg(F.min("x.dst").alias("cycle"))
+
+def _within(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges whose ends have the same root."""
+    a, b = roots.select(F.col("node").alias("src"), F.col("root").alias("a")), roots.select(F.col("node").alias("dst"), F.col("root").alias("b"))
+    return edges.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
 
 
 def longest_paths(edges: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:

@@ -69,6 +69,30 @@ def test_long_cycles(spark):
     assert {(r.node, r.cycle) for r in graphs.cycle_nodes(edges).collect()} == {(a, 100 if a < 1000 else 1000) for a, _ in rings}
 
 
+def strong(edges):
+    """Nodes on cycles, by plain reachability."""
+    nodes = {x for e in edges for x in e}
+    reach = {a: {b for s, b in edges if s == a} for a in nodes}
+    for _ in nodes:
+        reach = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+    return {(a, min(b for b in r if a in reach[b])) for a, r in reach.items() if a in r}
+
+
+@pytest.mark.parametrize("n, m", [(14, 17)])
+def test_cycles_of_random_graphs(spark, n, m):
+    import random
+
+    rng = random.Random(n * m)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    df = spark.createDataFrame([*edges, (None, 3), (3, None)], "src long, dst long")
+    assert sorted(map(tuple, graphs.cycle_nodes(df).collect())) == sorted(strong(edges))
+
+
+def test_graphs_without_edges(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert graphs.cycle_nodes(none).collect() == graphs.components(none).collect() == []
+
+
 def test_cycles_and_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f"), ("f", "e"), ("g", "g")], "src string, dst string")
     assert {(r.node, r.cycle) for r in graphs.cycle_nodes(edges).collect()} >= {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e"), ("f", "e")}
