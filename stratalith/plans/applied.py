@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, confidence, embedding, matches, splitting, summaries
+from ..operators import compare, confidence, embedding, matches, splitting, summaries, validators
 from ..operators.ddl import ddl_objects
 from ..operators.python_code import python_symbols
 from ..sources import store
@@ -438,3 +438,34 @@ def overridden_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey") % 3
     given = n.filter("n_nationkey % 4 > 0 or n_nationkey % 3 = 0").select("n_nationkey", F.when(k == 0, F.concat(F.lit("new "), "n_name")).when(k == 1, "").alias("n_name"))
     return summaries.with_override(n, given, "n_nationkey", ["n_name"])
+
+
+# Rows of a project each, by arithmetic on a key, so that every branch is met; nulls are absent measures.
+_PROJECTS = """SELECT p_partkey AS id, (p_partkey % 10) / CAST(10 AS DOUBLE) AS overall_confidence, p_partkey % 3 = 0 AS low_graph, p_partkey % 3 AS n_weaknesses, p_partkey % 4 + 2 AS n_vulnerabilities, p_partkey % 5 % 3 AS n_high_risk,
+  p_partkey % 2 AS n_security_patterns, CASE WHEN p_partkey % 7 > 1 THEN p_partkey % 4 END AS backend, p_partkey % 8 AS n_circular, p_partkey % 3 * 10 AS n_coupled_files, p_partkey % 3 * (p_partkey % 5) AS n_high_coupling,
+  CASE WHEN p_partkey % 6 > 0 THEN (p_partkey % 11) / CAST(11 AS DOUBLE) END AS quality_score, CASE WHEN p_partkey % 9 > 2 THEN CAST(p_partkey % 30 AS DOUBLE) END AS average_complexity, p_partkey % 4 AS n_anti_patterns,
+  p_partkey % 13 AS n_files, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 13 - p_partkey % 2 END AS n_parsed, p_partkey % 2 AS n_parsing_errors, CASE WHEN p_partkey % 17 = 1 THEN CAST(60 + p_partkey % 50 AS DOUBLE) END AS parse_success_rate,
+  p_partkey % 12 AS n_processed, CASE WHEN p_partkey % 6 <> 2 THEN p_partkey % 12 - p_partkey % 3 END AS n_transformed, p_partkey % 3 AS n_failed, p_partkey % 2 AS n_test_scripts FROM part"""
+
+
+@query(
+    f"""WITH p AS ({_PROJECTS}), n AS (SELECT *,
+      CASE WHEN backend = 0 THEN 1 ELSE 0 END + CASE WHEN n_circular >= 4 THEN 1 ELSE 0 END + CASE WHEN 10 * n_high_coupling > 3 * n_coupled_files THEN 1 ELSE 0 END AS arch,
+      CASE WHEN quality_score < 0.5 THEN 1 ELSE 0 END + CASE WHEN average_complexity > 20 THEN 1 ELSE 0 END + CASE WHEN n_anti_patterns > 0 THEN 1 ELSE 0 END AS qual,
+      CASE WHEN n_circular >= 6 THEN 1 ELSE 0 END + CASE WHEN 10 * n_high_coupling > 4 * n_coupled_files THEN 1 ELSE 0 END AS deps,
+      CASE WHEN n_files = 0 THEN 0 WHEN parse_success_rate > 100 THEN 1 WHEN parse_success_rate IS NOT NULL THEN parse_success_rate / 100 WHEN n_parsed IS NULL THEN 1 ELSE n_parsed / n_files END AS cover,
+      CASE WHEN n_processed = 0 THEN 0 WHEN n_transformed IS NULL THEN 1 ELSE n_transformed / n_processed END AS done FROM p),
+    v AS (SELECT id, 'confidence_threshold' AS rule_type, overall_confidence AS score, 0.5 AS threshold, CASE WHEN low_graph THEN 1 ELSE 0 END + CASE WHEN n_weaknesses > 0 THEN 1 ELSE 0 END AS n_recommendations FROM n
+      UNION ALL SELECT id, 'security_check', 1 - n_high_risk / n_vulnerabilities, 1, CASE WHEN n_high_risk > 0 THEN 1 ELSE 0 END + CASE WHEN n_security_patterns = 0 THEN 1 ELSE 0 END FROM n
+      UNION ALL SELECT id, 'architecture_compliance', 1 - arch / 3, 0.5, arch FROM n UNION ALL SELECT id, 'quality_gate', 1 - qual / 3, 0.5, qual FROM n UNION ALL SELECT id, 'dependency_health', 1 - 0.4 * deps, 0.5, deps FROM n
+      UNION ALL SELECT id, 'file_coverage', cover, 0.7, CASE WHEN n_files > 0 AND n_parsing_errors > 0 THEN 1 ELSE 0 END FROM n
+      UNION ALL SELECT id, 'transformation_completeness', done, 0.7, CASE WHEN n_processed > 0 AND n_failed > 0 THEN 2 ELSE 0 END FROM n
+      UNION ALL SELECT id, 'test_coverage_readiness', n_test_scripts, 0.5, 2 - 2 * n_test_scripts FROM n)
+    SELECT id, rule_type, round(score::DOUBLE, 6) AS score, threshold::DOUBLE AS threshold, score >= threshold AS passed, CASE WHEN score >= threshold THEN 'approved' ELSE 'requires_review' END AS status, n_recommendations::INTEGER AS n_recommendations FROM v"""
+)
+def eight_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight validators' rows of every project."""
+    p = run_sql(spark, sf_dir, _PROJECTS)
+    layers = F.when(F.col("backend").isNotNull(), F.create_map(F.lit("backend"), F.col("backend")))
+    got = validators.validations(p.withColumn("low_categories", F.when(F.col("low_graph"), F.array(F.lit("graph")))).withColumn("layer_files", layers), "id")
+    return got.withColumn("score", F.round("score", 6)).withColumn("n_recommendations", F.size("recommendations")).drop("recommendations")

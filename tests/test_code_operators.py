@@ -77,3 +77,20 @@ def test_review_stream(spark, tmp_path):
 def test_progress_stream(spark, tmp_path):
     out = run(spark, tmp_path, "p", progress_counts, "ts string, event_type string", [("2024-01-01 10:10:00", "a"), ("2024-01-01 10:50:00", "a")], [("2024-01-01 15:00:00", "b")])
     assert [(str(r.start)[11:16], r.event_type, r.n) for r in out.collect()] == [("10:00", "a", 2)]
+
+
+def test_eight_validators(spark):
+    from stratalith.operators import validators
+
+    names = [f.split()[0] for f in validators.MEASURES.split(", ")]
+    bad = dict(id=1, overall_confidence=0.4, low_categories=["graph", "tools"], n_weaknesses=1, n_vulnerabilities=4, n_high_risk=1, n_security_patterns=0, layer_files={"backend": 0}, n_circular=6, n_coupled_files=10, n_high_coupling=5, quality_score=0.2, average_complexity=25.0, n_anti_patterns=2, n_files=10, n_parsed=5, n_parsing_errors=5, n_processed=4, n_transformed=2, n_failed=2, n_test_scripts=0)
+    absent = dict(id=2)
+    rows = spark.createDataFrame([tuple(r.get(c) for c in ["id", *names]) for r in (bad, absent)], f"id long, {validators.MEASURES}")
+    got = {(r.id, r.rule_type): r for r in validators.validations(rows, "id").collect()}
+    assert len(got) == 16
+    scores = {k: (round(r.score, 3), r.passed, len(r.recommendations)) for k, r in got.items()}
+    expected = {"confidence_threshold": (0.4, False, 2), "security_check": (0.75, False, 2), "architecture_compliance": (0.0, False, 3), "quality_gate": (0.0, False, 3), "dependency_health": (0.2, False, 2), "file_coverage": (0.5, False, 1), "transformation_completeness": (0.5, False, 2), "test_coverage_readiness": (0.0, False, 2)}
+    assert {k: scores[1, k] for k in expected} == expected
+    expected = {"confidence_threshold": (0.0, False, 0), "security_check": (1.0, True, 1), "architecture_compliance": (1.0, True, 0), "quality_gate": (1.0, True, 0), "dependency_health": (1.0, True, 0), "file_coverage": (0.0, False, 0), "transformation_completeness": (0.0, False, 0), "test_coverage_readiness": (0.0, False, 2)}
+    assert {k: scores[2, k] for k in expected} == expected
+    assert got[1, "confidence_threshold"].recommendations[0].endswith("graph, tools") and got[1, "architecture_compliance"].recommendations[0].endswith("backend")
