@@ -39,10 +39,10 @@ code_query("parsing_confidence", """SELECT round(CAST(0.4 * ok + 0.3 * known + 0
 SELECT avg(CAST(CASE WHEN content <> '' THEN 1 ELSE 0 END AS @double)) AS ok, avg(CAST(CASE WHEN ext IN ('.java', '.py', '.tsx', '.sql') THEN 1 ELSE 0 END AS @double)) AS known, avg(CAST(length(content) AS @double)) AS size FROM files) x""", _FILES)
 
 sql_query("ordered_dedup", "SELECT user_id, event_type, place FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first_seen, event_type) AS place FROM (SELECT user_id, event_type, min(event_id) AS first_seen FROM events GROUP BY user_id, event_type) y) x WHERE place <= 40")
-sql_query("review_durations", "SELECT l_returnflag, count(*) AS reviews, round(avg(CAST(minutes AS DOUBLE)), 4) AS avg_minutes FROM (SELECT l.l_returnflag, (extract(YEAR FROM l.l_shipdate) - extract(YEAR FROM o.o_orderdate)) * 525600 AS minutes FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_shipdate >= o.o_orderdate) x GROUP BY l_returnflag")
+sql_query("review_durations", "SELECT l_returnflag, count(*) AS reviews, round(avg(CAST(micros AS @double) / 60000000), 4) AS avg_minutes FROM (SELECT l.l_returnflag, @micros(o.o_orderdate, l.l_shipdate) AS micros FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_shipdate >= o.o_orderdate) x GROUP BY l_returnflag")
 sql_query("pattern_bands", "SELECT event_type, CASE WHEN value > 80 THEN 'high' WHEN value > 50 THEN 'medium' ELSE 'low' END AS band, count(*) AS n, round(avg(value), 4) AS avg_value, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
 sql_query("audit_approval_rate", "SELECT o_orderpriority, round(CAST(100 AS DOUBLE) * sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / nullif(count(*), 0), 1) AS rate FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority")
-sql_query("stage_elapsed", "SELECT user_id, count(*) AS steps, min(event_id) AS first_event, max(event_id) AS last_event, round(CAST(count(*) AS DOUBLE) / (max(event_id) - min(event_id) + 1), 8) AS pace FROM events GROUP BY user_id")
+sql_query("stage_elapsed", "SELECT event_id, user_id, event_type AS stage, place, CAST(micros AS @double) / 1000000 AS seconds FROM (SELECT event_id, user_id, event_type, CAST(row_number() OVER w AS BIGINT) AS place, @micros(lag(ts) OVER w, ts) AS micros FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) x")
 sql_query("business_complexity", "SELECT source, rules, CASE WHEN rules > 20 THEN 'high' WHEN rules > 10 THEN 'medium' ELSE 'low' END AS complexity FROM (SELECT source, CAST(sum(CASE WHEN contains(lower(text), ' must ') OR contains(lower(text), ' if ') THEN 1 ELSE 0 END) AS BIGINT) AS rules FROM documents GROUP BY source) x")
 _PARTS = "g AS (SELECT n_nationkey, CAST((n_nationkey * 31) % 100 AS DOUBLE) / 100 AS overall, CAST((n_nationkey * 17) % 100 AS DOUBLE) / 100 AS security, n_nationkey % 9 = 0 AS failed FROM nation)"
 sql_query("review_routing", f"WITH {_PARTS} SELECT n_nationkey, overall < 0.7 OR security < 0.5 OR failed AS to_human, concat(CASE WHEN overall < 0.7 THEN 'low confidence;' ELSE '' END, CASE WHEN security < 0.5 THEN 'security;' ELSE '' END, CASE WHEN failed THEN 'errors;' ELSE '' END) AS reason FROM g")

@@ -1,7 +1,8 @@
 """Queries whose plan is one SQL statement, written once for Spark and for the engine it is compared with.
 
 Where the two dialects differ the text has a macro: @explode( makes a row of each
-element, @like( matches a regular expression, @sha( is SHA-256 in hex.
+element, @like( matches a regular expression, @sha( is SHA-256 in hex, @micros( the
+microseconds from one time to another.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from ..sources.tables import table
 from .registry import query
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
-_SPARK = {"@explode(": "explode(", "@like(": "regexp_like(", "@sha(": "sha(", "@size(": "size(", "@double": "DOUBLE", "@text": "STRING"}
-_OTHER = {"@explode(": "unnest(", "@like(": "regexp_matches(", "@sha(": "sha256(", "@size(": "len(", "@double": "DOUBLE", "@text": "VARCHAR"}
+_SPARK = {"@explode(": "explode(", "@like(": "regexp_like(", "@sha(": "sha(", "@size(": "size(", "@double": "DOUBLE", "@text": "STRING", "@micros(": "timestampdiff(MICROSECOND, "}
+_OTHER = {"@explode(": "unnest(", "@like(": "regexp_matches(", "@sha(": "sha256(", "@size(": "len(", "@double": "DOUBLE", "@text": "VARCHAR", "@micros(": "date_diff('microsecond', "}
 
 
 def in_dialect(sql: str, words: dict[str, str]) -> str:
