@@ -36,7 +36,7 @@ def _sources(edges: DataFrame, seed: int) -> DataFrame:
 
     A root reaches its node, so a root's own root does too: each round follows an
     edge and then jumps there.  Priorities are hashes, whatever order the nodes were
-    named in; so long paths and rings take a number of rounds near the logarithm of their length.
+    named in; so long paths and rings should take rounds near the logarithm of their length.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     now = _cut(nodes.withColumn("root", F.struct(F.xxhash64("node", F.lit(seed)).alias("p"), F.col("node").alias("n"))))
