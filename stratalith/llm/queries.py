@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_formatting import OP4_SQL, op4_chat_formatting
 from .decontamination import op9_decontamination
+from .importance_resampling import OP12_SQL, op12_importance_resampling
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .minhash_dedup import op5_minhash_dedup
 from .ngram_lm import op3_lm_scoring
 from .packing import op8_packing
 from .quality_rules import OP2_SQL, op2_quality_rules
+from .simhash_dedup import op13_simhash_dedup
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .token_output import op1_token_output
@@ -28,6 +31,9 @@ OPERATORS = (
     op8_packing,
     op9_decontamination,
     op10_substring_dedup,
+    op11_lexical_search,
+    op12_importance_resampling,
+    op13_simhash_dedup,
 )
 
 
@@ -36,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_substring_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_importance_resampling": OP12_SQL}
