@@ -12,10 +12,11 @@ w * v over an item's terms, in whole numbers.
    terms is a lower bound of its kth score.  The stored documents themselves are
    scored exactly; their kth score is another, closer bound.
 3. An item's terms stand by what they can add at most, w times the term's highest value.
-   Terms from which on all that can still be added is below the bound are cut: who
-   holds none of the others can't be among the k best.
+   Terms from which on all that can still be added is below CUT of the bound are cut:
+   who holds none of the others can't be among the k best.  With CUT at 1 the fewest
+   postings would be read, but whoever holds one of those terms would stay possible.
 4. The other terms' postings give candidates.  What a candidate has from them, plus all
-   that the cut terms could add, must reach the bound; the rest is scored exactly.
+   that the cut terms could add, must reach the bound; what is left is scored exactly.
 
 A bound is only ever used to drop what lies strictly below it, so ties stay.  Equal
 scores stand by ascending doc_id, null last; repeated rows of docs are documents each,
@@ -40,6 +41,7 @@ from . import blocks as B
 from .importance_resampling import WORD_BYTES
 
 BEST = 10
+CUT = 0.4
 FILTER_BITS = 1 << 22
 TERMS = "row long, id long, n long, terms array<string>, counts array<int>"
 GROUP_ROWS = 512
@@ -127,7 +129,7 @@ class Index:
         """(item, row, id, score) of pairs (item, row); weights: (item, by_term) with each item's weights by term."""
         v = lambda x: value(x["counts"], F.col("n"), self.n_docs, self.n_terms)
         total = F.aggregate(F.arrays_zip("terms", "counts"), F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(F.col("by_term")[x["terms"]], F.lit(0).cast("long")) * v(x))
-        return pairs.join(weights, "item").join(self.docs, "row").select("item", "row", "id", total.alias("score"))
+        return pairs.join(self.docs, "row").join(weights, "item").select("item", "row", "id", total.alias("score"))
 
 
 def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
@@ -150,8 +152,9 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     # what the terms from each one on can add
     rest = F.sum("most").over(W.partitionBy("item").orderBy(F.desc("most"), "term").rowsBetween(0, W.unboundedFollowing))
     ordered = B.stored(each.withColumn("rest", rest).join(bound, "item"), "ordered-terms")
-    asking = ordered.filter("rest >= bound").select("item", "term", "w")
-    cut = ordered.groupBy("item").agg(F.first("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("rest") < F.col("bound"), F.col("most"))), F.lit(0)).alias("cut"))
+    goes = F.col("rest") < CUT * F.col("bound")
+    asking = ordered.filter(~goes).select("item", "term", "w")
+    cut = ordered.groupBy("item").agg(F.first("bound").alias("bound"), F.coalesce(F.sum(F.when(goes, F.col("most"))), F.lit(0)).alias("cut"))
 
     found = index.postings.join(asking, "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("v")).alias("part"))
     candidates = B.stored(found.join(cut, "item").filter(F.col("part") + F.col("cut") >= F.col("bound")).select("item", "row"), "candidates")
