@@ -221,34 +221,16 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: A number for each byte and a multiplier for each place; a word's hash is the sum of their products.
-BYTE_NUMBERS = np.random.default_rng(20240301).integers(0, 2**64, 256, np.uint64)
-PLACE_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so that places differ in all but their lowest bits
 SPACES = [0x20, *range(0x09, 0x0E)]
-BYTE_NUMBERS[SPACES] = 0
-#: Others, for a second hash of the same words that owes nothing to the first.
-OTHER_NUMBERS = np.random.default_rng(20240302).integers(0, 2**64, 256, np.uint64)
-OTHER_NUMBERS[SPACES] = 0
-FOLDED_NUMBERS = BYTE_NUMBERS.copy()
-FOLDED_NUMBERS[65:91] = BYTE_NUMBERS[97:123]
 IN_WORD = np.ones(256, bool)
 IN_WORD[SPACES] = False
-PIECE_BYTES = 1 << 19
-
-
-class PlaceFactors:
-    """Powers of PLACE_BASE, as many as were asked for."""
-
-    def __init__(self):
-        self.table = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if n > len(self.table):
-            self.table = np.cumprod(np.full(max(n, 1024), PLACE_BASE, np.uint64)) * np.uint64(pow(PLACE_BASE, -1, 2**64))
-        return self.table
-
-
-PLACES = PlaceFactors()
+#: A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+#: Of the eight bytes from a word's place on, those that are its own, by how many they are.
+OWN_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+PIECE_WORDS = 1 << 17
 
 
 def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -263,24 +245,32 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def word_hashes(texts: list[bytes], fold: bool = False, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the texts' words, one text after the other, and how many each has; fold: A-Z as a-z; other: by OTHER_NUMBERS.
+    """64-bit hashes of the texts' words, one text after the other, and how many each has; fold: A-Z as a-z; other: hashes that owe nothing to the first.
 
+    A word is read eight bytes at a time.  Each eight are mixed by a bijection of
+    their own, which isn't linear, before they are summed, and the word's length
+    goes in as well; so no pattern of places cancels out, however long the word.
     Works piece by piece, so memory stays in proportion to the texts."""
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    data, starts, _, counts = word_spans(texts)
-    numbers = OTHER_NUMBERS if other else FOLDED_NUMBERS if fold else BYTE_NUMBERS
+    data, starts, ends, counts = word_spans(texts)
+    data = np.concatenate((FOLDED.take(data) if fold else data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # from every place on
+    seed = np.uint64(0x8CB92BA72F3D8DD7 if other else 0x452821E638D01377)
     out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE_BYTES)))
-        a, b = int(starts[i]), int(starts[j]) if j < len(starts) else len(data)
-        mine = starts[i:j] - a
-        gaps = np.diff(mine, append=b - a)
-        place = np.arange(b - a) - np.repeat(mine, gaps)
-        # spaces count 0, so a sum up to the next word is the word's own
-        out[i:j] = np.add.reduceat(numbers.take(data[a:b]) * PLACES.upto(int(gaps.max())).take(place), mine)
-        i = j
+    for i in range(0, len(starts), PIECE_WORDS):
+        first, size = starts[i : i + PIECE_WORDS], ends[i : i + PIECE_WORDS] - starts[i : i + PIECE_WORDS]
+        n = (size + 7) >> 3
+        if n.max(initial=1) == 1:
+            at, nth, left = first, np.zeros(1, np.uint64), size
+        else:
+            upto = np.cumsum(n) - n
+            nth = np.arange(int(n.sum())) - np.repeat(upto, n)
+            at, left = np.repeat(first, n) + 8 * nth, np.minimum(8, np.repeat(size, n) - 8 * nth)
+            nth = nth.astype(np.uint64)
+        x = mixed((eights.take(at) & OWN_BYTES.take(left)) ^ mixed(seed + nth * GOLDEN))
+        x = x if len(nth) == 1 and len(x) == len(size) else np.add.reduceat(x, upto)
+        out[i : i + PIECE_WORDS] = mixed(x ^ (seed + size.astype(np.uint64) * GOLDEN))
     return out, counts
 
 

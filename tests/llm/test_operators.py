@@ -424,3 +424,19 @@ def test_decontamination_finds_edited_copies(spark, every):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert len(got & {(i, i) for i in range(60)}) >= 54 and not got - {(i, i) for i in range(60)}
+
+
+def test_long_words_that_mirror_each_other(spark):
+    """A Thue-Morse word and its complement: sums of powers over their places are equal, the words are not."""
+    one = "".join("ab" if bin(i).count("1") % 2 == 0 else "ba" for i in range(512))
+    other = one.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {one}"), (2, f"{head} {other}"), (3, one), (4, other), (5, f"{head} {one}")]
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(both).collect()}
+    assert cut == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(both, 3, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    for change in ({}, {"fold": True}, {"other": True}):
+        h, counts = B.word_hashes([one.encode(), b"", other.encode(), b"a\0", b"a", b"b A a"], **change)
+        assert counts.tolist() == [1, 0, 1, 1, 1, 3]
+        assert len(set(h.tolist())) == (5 if change.get("fold") else 6) and h[3] == h[6]
