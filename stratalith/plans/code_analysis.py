@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexing, symbols
+from ..operators import imports, lexing, paths, symbols
 from .project_corpus import FILES, PROJECT_SQL, _literal, project_files
 from .registry import query
 
@@ -154,3 +154,53 @@ def endpoint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods of over fifty lines, and global variables."""
     return symbols.anti_patterns(lexing.code_units(project_files(spark, sf_dir)))
+
+
+_WANT = by_hand("want", "symbol, name, a, b", SYMBOLS)
+#: An import's run of segments by hand where it is relative, else its name with slashes; the first file whose path holds it.
+_IMPORTED = """imported AS (SELECT project, path AS src, name AS import, CASE WHEN name = '../format' THEN 'p' || project || '/web/src/format' WHEN contains(name, '/') THEN name ELSE replace(regexp_replace(name, '[.][*]$', ''), '.', '/') END AS run
+  FROM project_files JOIN want USING (kind) WHERE symbol IN ('import', 'require')),
+import_edges AS (SELECT project, src, dst, import FROM (SELECT i.*, f.path AS dst, row_number() OVER (PARTITION BY i.project, src, import ORDER BY f.file_no) AS n
+  FROM imported i JOIN project_files f ON i.project = f.project AND contains('/' || regexp_replace(f.path, '[.][^./]*$', '') || '/', '/' || run || '/')) x WHERE n = 1 AND src <> dst)"""
+
+
+@query(f"WITH {PROJECT_SQL}, {_WANT}, {_IMPORTED} SELECT project, src, dst, import FROM import_edges")
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which file each import of a project names: the first whose path holds it."""
+    files = project_files(spark, sf_dir)
+    found = symbols.code_symbols(lexing.code_units(files)).filter(F.col("kind").isin("import", "require"))
+    return imports.resolved(files, found.join(files.select("project", "path"), "path"))
+
+
+_PARENTS = by_hand("parents", "class, parent", {JAVA: [("OrderController", "BaseController")], USER_SERVICE: [("UserService", "Base")], MODELS: [("User~", "Base")], SHARP: [("ItemsController", "ControllerBase")]})
+_GRAPH = f"""{PROJECT_SQL}, {_WANT}, {_IMPORTED}, {_PARENTS},
+parts AS (SELECT project, path, CASE symbol WHEN 'class' THEN 'class' ELSE 'function' END AS type, replace(name, '~', CAST(project AS VARCHAR)) AS name FROM project_files JOIN want USING (kind) WHERE symbol IN ('class', 'function', 'method')),
+graph_edges AS (SELECT DISTINCT project, path AS src, type || ':' || path || ':' || name AS dst, 'contains' AS kind, CAST(1.0 AS DOUBLE) AS weight FROM parts
+  UNION ALL SELECT DISTINCT project, src, dst, 'import', CAST(0.5 AS DOUBLE) FROM import_edges
+  UNION ALL SELECT DISTINCT project, 'class:' || path || ':' || replace(class, '~', CAST(project AS VARCHAR)), 'class:' || project || ':' || parent, 'inheritance', CAST(2.0 AS DOUBLE) FROM project_files JOIN parents USING (kind))"""
+
+
+@query(f"WITH {_GRAPH} SELECT project, src, dst, kind, weight FROM graph_edges")
+def project_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the typed graph: what files hold, what they import, what classes inherit from."""
+    files = project_files(spark, sf_dir)
+    units = lexing.code_units(files)
+    return imports.typed_graph(files, units, symbols.code_symbols(units))[1]
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH},
+    starts AS (SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY project ORDER BY file_no) AS n FROM project_files WHERE path NOT IN (SELECT dst FROM graph_edges)) x WHERE n <= 5),
+    r(start, path, cur) AS (SELECT path, [path], path FROM starts UNION ALL SELECT start, list_append(r.path, dst), dst FROM r JOIN graph_edges e ON r.cur = e.src WHERE NOT list_contains(r.path, dst))
+    SELECT start, CAST(len(path) AS BIGINT) AS length, array_to_string(path, ' > ') AS path,
+      CAST(len(path) + list_sum(list_transform(path, lambda x: CASE WHEN x LIKE 'class:%' THEN 2.0 WHEN x LIKE 'function:%' THEN 0.5 ELSE 1.0 END)) AS DOUBLE) AS impact
+    FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path) DESC, path) AS n FROM r) x WHERE n = 1 AND len(path) > 2"""
+)
+def graph_critical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest path from each of a project's first five entry points, if it has over two nodes, and its impact."""
+    files = project_files(spark, sf_dir)
+    units = lexing.code_units(files)
+    nodes, edges = imports.typed_graph(files, units, symbols.code_symbols(units))
+    starts = paths.entry_points(files.select(F.col("project").alias("graph"), F.col("file_no").alias("place"), F.col("path").alias("node")), edges)
+    found = paths.critical_paths(nodes.withColumnRenamed("id", "node"), edges, starts)
+    return found.withColumn("path", F.array_join("path", " > "))
