@@ -20,12 +20,13 @@ def stem(path: Column) -> Column:
 
 
 def runs_of(path: Column) -> Column:
-    """All runs of a path's segments, without the file's extension; each once."""
+    """All runs of a path's segments, without the file's extension, each once; those from the path's start also with a slash before."""
     parts = F.split(stem(path), "/")
     n = F.size(parts)
     starts = F.sequence(F.lit(1), n)
     each = F.transform(starts, lambda a: F.transform(F.sequence(a, F.least(n, a + DEPTH - 1)), lambda b: F.array_join(F.slice(parts, a, b - a + 1), "/")))
-    return F.array_distinct(F.flatten(each))
+    whole = F.transform(F.sequence(F.lit(1), n), lambda b: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), b), "/")))
+    return F.array_distinct(F.concat(F.flatten(each), whole))
 
 
 def index_of(files: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def without_dots(path: Column) -> Column:
 def wanted(path: Column, name: Column) -> Column:
     """The run of segments that an import in a file asks for."""
     folder = F.regexp_replace(path, r"/?[^/]*$", "")
-    relative = without_dots(F.concat(folder, F.lit("/"), name))
+    relative = F.concat(F.lit("/"), without_dots(F.concat(folder, F.lit("/"), name)))
     dotted = F.replace(F.regexp_replace(name, r"\.\*$", ""), F.lit("."), F.lit("/"))
     return F.when(name.rlike(r"^\.\.?/"), stem(relative)).when(name.contains("/"), name).otherwise(dotted)
 
