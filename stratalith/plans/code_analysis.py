@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import imports, lexing, paths, symbols
+from ..operators import imports, lexing, paths, stack_rules, symbols
 from .project_corpus import FILES, PROJECT_SQL, _literal, project_files
 from .registry import query
 
@@ -204,3 +204,50 @@ def graph_critical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = paths.entry_points(files.select(F.col("project").alias("graph"), F.col("file_no").alias("place"), F.col("path").alias("node")), edges)
     found = paths.critical_paths(nodes.withColumnRenamed("id", "node"), edges, starts)
     return found.withColumn("path", F.array_join("path", " > "))
+
+
+_CHANNEL = {"import": "import", "require": "import", "annotation": "annotation", "decorator": "annotation", "attribute": "annotation", "ejb": "pattern", "jpa_repository": "pattern"}
+_RULE_ROWS = ", ".join(f"({_literal(c)}, {_literal(t)}, {k}, {_literal(kind)}, {_literal(term)}, {'NULL' if points is None else points})" for c, t, k, kind, term, points in stack_rules.starter_rules())
+_BONUS_ROWS = ", ".join(f"({_literal(c)}, {_literal(w)}, {points})" for c, (points, words) in stack_rules.BONUS.items() for w in words)
+#: Every rule against every text.
+_STACK = f"""{PROJECT_SQL}, {_WANT},
+rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) v(category, technology, place, rule, term, points)),
+bonuses AS (SELECT * FROM (VALUES {_BONUS_ROWS}) v(category, word, points)),
+texts AS (SELECT project, 'content' AS channel, lower(content) AS text FROM project_files
+  UNION ALL SELECT project, 'manifest', lower(content) FROM project_files WHERE regexp_extract(path, '[^/]*$') IN ({", ".join(map(_literal, stack_rules.MANIFESTS))})
+  UNION ALL SELECT project, CASE WHEN symbol IN ('import', 'require') THEN 'import' WHEN symbol IN ('ejb', 'jpa_repository') THEN 'pattern' ELSE 'annotation' END, lower(CASE WHEN symbol IN ('ejb', 'jpa_repository') THEN symbol || ' ' || name ELSE name END)
+    FROM project_files JOIN want USING (kind) WHERE symbol IN ({", ".join(map(_literal, _CHANNEL))})),
+found AS (SELECT DISTINCT project, category, technology, place, term, channel FROM rules JOIN texts ON rule = 'indicator' AND contains(text, term)),
+points AS (SELECT project, category, technology, place, CASE channel WHEN 'import' THEN 20 WHEN 'annotation' THEN 15 WHEN 'pattern' THEN 18 WHEN 'manifest' THEN 15 ELSE 12 END AS points, CASE WHEN channel IN ('content', 'manifest') THEN term END AS sure, term, channel FROM found
+  UNION ALL SELECT DISTINCT project, category, technology, place, points, NULL, term, rule FROM rules JOIN texts ON rule = 'dependency' AND channel = 'manifest' AND contains(text, term)
+  UNION ALL SELECT DISTINCT project, category, technology, place, points, NULL, term, rule FROM rules JOIN project_files ON rule = 'config' AND regexp_extract(path, '[^/]*$') = term
+  UNION ALL SELECT project, category, technology, place, points * least(count(*), 5), NULL, term, rule FROM rules JOIN project_files ON rule = 'extension' AND lower(regexp_extract(path, '[.][^./]*$')) = term GROUP BY project, category, technology, place, points, term, rule),
+extra AS (SELECT project, category, sum(points) AS bonus FROM (SELECT DISTINCT project, category, word, points FROM bonuses JOIN texts ON channel = 'content' AND contains(text, word)) x GROUP BY project, category),
+sums AS (SELECT project, category, technology, place, sum(points) AS points, count(DISTINCT sure) AS sure FROM points GROUP BY project, category, technology, place),
+scores AS (SELECT s.project, s.category, technology, place, CAST(least(100, CASE WHEN points + coalesce(bonus, 0) < 70 AND sure > 0 THEN greatest(points + coalesce(bonus, 0), 70 + 5 * sure) ELSE points + coalesce(bonus, 0) END) AS BIGINT) AS score
+  FROM sums s LEFT JOIN extra e ON s.project = e.project AND s.category = e.category)"""
+
+
+def _project_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project_files(spark, sf_dir)
+    named = symbols.code_symbols(lexing.code_units(files)).join(files.select("project", "path"), "path")
+    channel = F.lit(None).cast("string")
+    for kind, c in _CHANNEL.items():
+        channel = F.when(F.col("kind") == kind, F.lit(c)).otherwise(channel)
+    marks = named.withColumn("channel", channel).filter("channel is not null").select("project", "channel", F.when(F.col("channel") == "pattern", F.concat_ws(" ", "kind", "name")).otherwise(F.col("name")).alias("text"))
+    return stack_rules.stack_scores(files, stack_rules.rules_of(spark), marks)
+
+
+@query(f"WITH {_STACK} SELECT CAST(project AS VARCHAR) AS project, category, technology, score FROM scores")
+def stack_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every technology that a project shows signs of, by all channels of evidence."""
+    return _project_stack(spark, sf_dir).select("project", "category", "technology", "score")
+
+
+@query(
+    f"""WITH {_STACK}, placed AS (SELECT *, row_number() OVER (PARTITION BY project, category ORDER BY score DESC, place) AS n FROM scores WHERE score >= 70)
+    SELECT CAST(project AS VARCHAR) AS project, category, max(CASE WHEN n = 1 THEN technology END) AS detected, max(score) AS confidence, coalesce(string_agg(technology, ', ' ORDER BY n) FILTER (WHERE n BETWEEN 2 AND 4), '') AS alternatives FROM placed GROUP BY project, category"""
+)
+def stack_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The technology of each category of each project, and up to three others."""
+    return stack_rules.detected(_project_stack(spark, sf_dir)).withColumn("alternatives", F.array_join("alternatives", ", "))
