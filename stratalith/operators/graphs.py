@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back.
@@ -15,18 +15,7 @@ def _cut(df: DataFrame) -> DataFrame:
     grows by powers over the rounds, and would compute df twice.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = at.get() if at.isDefined() else None
-    if not folder and spark.sparkContext.master.startswith("local"):  # one machine: its disk is shared by all there is
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="stratalith-")
-        spark.sparkContext.setCheckpointDir(folder)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = shared_dir(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import imports, lexing, paths, stack_rules, symbols
+from ..sources import tree
+from ..sources.tables import shared_dir
 from .project_corpus import FILES, PROJECT_SQL, _literal, project_files
 from .registry import query
 
@@ -251,3 +253,26 @@ def stack_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stack_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The technology of each category of each project, and up to three others."""
     return stack_rules.detected(_project_stack(spark, sf_dir)).withColumn("alternatives", F.array_join("alternatives", ", "))
+
+
+#: What else is written for each project: skipped, binary and other files that aren't read, and one that is empty.
+_ODD = [("node_modules/lib/index.js", "x"), ("sub/.gradle/a.py", "x"), ("logo.png", "x"), ("LICENSE", "x"), ("api/__init__.py", ""), (".gitignore", "*.pyc\n\n  \n"), ("Dockerfile", "FROM x")]
+_SEEN = {".java": "Java", ".py": "Python", ".js": "JavaScript", ".tsx": "TypeScript", ".ts": "TypeScript", ".cs": "C#", ".go": "Go", ".sql": "SQL", ".cbl": "COBOL", ".xml": "XML", ".yml": "YAML", ".json": "JSON", ".properties": "Properties", ".md": "Markdown", ".xhtml": "XHTML", ".txt": "Other"}
+
+
+@query(
+    f"""WITH {PROJECT_SQL}, languages AS (SELECT * FROM (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in _SEEN.items())}) v(extension, language)),
+    odd AS (SELECT DISTINCT 'p' || project || '/' || v.path AS path, v.content, v.language, v.extension FROM project_files, (VALUES ('api/__init__.py', '', 'Python', '.py'), ('.gitignore', '*.pyc' || chr(10) || chr(10) || '  ' || chr(10), 'Other', ''), ('Dockerfile', 'FROM x', 'Dockerfile', '')) v(path, content, language, extension)),
+    named AS (SELECT path, content, regexp_extract(path, '[.][^./]*$') AS extension FROM project_files),
+    seen AS (SELECT path, content, language, extension FROM named JOIN languages USING (extension) UNION ALL SELECT path, content, language, extension FROM odd)
+    SELECT path, regexp_extract(path, '[^/]*$') AS filename, extension, language, CAST(octet_length(encode(content)) AS BIGINT) AS size, CAST(len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS loc, sha256(content) AS digest FROM seen"""
+)
+def source_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects written as trees of files and read again: what is relevant, with language, size and lines."""
+    files = project_files(spark, sf_dir)
+    odd = spark.createDataFrame(_ODD, "name string, content string")
+    folders = files.select(F.substring_index("path", "/", 1).alias("folder")).distinct()
+    more = folders.join(odd).select(F.concat_ws("/", "folder", "name").alias("path"), "content")
+    root = shared_dir(spark, "tree")
+    tree.write_tree(files.select("path", "content").unionByName(more), root)
+    return tree.scan(spark, root).select("path", "filename", "extension", "language", "size", "loc", F.sha2("content", 256).alias("digest"))

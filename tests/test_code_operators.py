@@ -4,6 +4,7 @@ import pytest
 
 from stratalith.operators.ddl import ddl_objects
 from stratalith.operators.python_code import python_symbols
+from stratalith.sources import tree
 from stratalith.sources.tree import scan
 from stratalith.streaming.reviews import progress_counts, review_states
 
@@ -43,14 +44,54 @@ def test_python_symbols(spark):
     assert got == {("x.py", "module", None, None, 5), ("x.py", "import", "os", None, None), ("x.py", "import", "b", "a", None), ("x.py", "class", "A", None, 4), ("x.py", "method", "m", "A", 4), ("x.py", "function", "f", None, 2), ("bad.py", "error", "SyntaxError", None, None), ("n.py", "module", None, None, 1)}
 
 
+TREE = {"a.py": b"x\n\n y\r\n", "__init__.py": b"", ".gitignore": b"*.pyc", "target/x.py": b"x", "img.png": b"x", "Dockerfile": b"FROM x", "src/Main.JAVA": b"a\xffb\xef\xbf\xbd", "notes": b"x", "sub/target/deep.sql": b"x", "go.sum": b"x"}
+
+
 def test_scan(spark, tmp_path):
-    for name, body in {"a.py": b"x\n\n y\n", "target/x.py": b"x", "img.png": b"x", "Dockerfile": b"FROM x", "src/Main.JAVA": b"a\xffb", "notes": b""}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name, body in TREE.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_bytes(body)
-    got = {(r.path, r.language, r["size"], r.loc, r.content) for r in scan(spark, str(tmp_path)).collect()}
-    assert got == {("a.py", "Python", 6, 2, "x\n\n y\n"), ("Dockerfile", "Docker", 6, 1, "FROM x"), ("src/Main.JAVA", "Java", 3, 1, "ab")}  # the empty file gives no row
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        scan(spark, str(tmp_path / "none"))
+    want = {("a.py", "Python", 7, 2, "x\n\n y\r\n"), ("__init__.py", "Python", 0, 0, ""), (".gitignore", "Other", 5, 1, "*.pyc"), ("Dockerfile", "Dockerfile", 6, 1, "FROM x"), ("src/Main.JAVA", "Java", 6, 1, "ab\ufffd"), ("go.sum", "Other", 1, 1, "x")}
+    rows = lambda df: {(r.path, r.language, r["size"], r.loc, r.content) for r in df.collect()}
+    assert rows(scan(spark, str(tmp_path))) == rows(scan(spark, f"file://{tmp_path}")) == want
+    each = scan(spark, str(tmp_path), partition_bytes=1)
+    assert rows(each) == want and each.rdd.getNumPartitions() >= 5
+    assert ("target/x.py", "Python", 1, 1, "x") in rows(scan(spark, str(tmp_path), skipped=(".git",)))
+    (tmp_path / "empty").mkdir()
+    assert scan(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="no folder at"):
+        scan(spark, str(tmp_path / "none")).collect()
+
+
+def test_skipped_folders_are_not_listed():
+    class Listing:
+        def get_file_info(self, selector):
+            asked.append(selector.base_dir)
+            assert "node_modules" not in selector.base_dir
+            return real.get_file_info(selector)
+
+    import pyarrow.fs as pafs
+
+    real = pafs._MockFileSystem()
+    real.create_dir("root/node_modules/deep")
+    real.create_dir("root/src")
+    for name in ("root/node_modules/deep/a.js", "root/src/b.js", "root/c.js"):
+        with real.open_output_stream(name) as f:
+            f.write(b"x")
+    asked: list[str] = []
+    assert [p for p, _ in tree.walk(Listing(), "root", frozenset(tree.SKIP_DIRS))] == ["c.js", "src/b.js"]
+    assert asked == ["root", "root/src"]
+
+
+def test_write_tree(spark, tmp_path):
+    rows = [("a/b.py", "x"), ("c.md", None), ("a/d/é.sql", "ü")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    for _ in range(2):  # a second time replaces
+        tree.write_tree(files, f"file://{tmp_path}/out")
+    assert {(r.path, r.content) for r in scan(spark, f"{tmp_path}/out").collect()} == {("a/b.py", "x"), ("c.md", ""), ("a/d/é.sql", "ü")}
+    for bad in ("../x", "/x", None):
+        with pytest.raises(Exception, match="not a path below"):
+            tree.write_tree(spark.createDataFrame([(bad, "x")], "path string, content string"), str(tmp_path / "out"))
 
 
 def run(spark, tmp_path, name, build, schema, *batches):
