@@ -1,13 +1,16 @@
-"""A project store: append-only Parquet tables below one folder, with views of what holds now.
+"""A project store: tables below one folder, each with a log of commits, and views of what holds now.
 
-Nothing is updated in place.  Statuses, runs and fields are events, and a view takes
-the latest of each key; files of a project are replaced by partition; a project goes
-by dropping its partitions.  Every event has a time and, for equal times, a number.
+Nothing is updated in place.  Statuses, results and runs are events in the log itself,
+and a view takes the latest of each key; files and vectors are written to a folder of
+their commit.  A commit may replace or remove a project's rows in a table: then those
+of earlier commits are gone.  Writers need no lock, and a crash leaves nothing half done
+(see commits.py).  An event's number is its commit's, so later events have greater ones.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.matches import first_by_priority
+from .commits import CommitLog
 
-#: Tables and their columns; all but projects are partitioned by project_id.
+#: Tables of events, which are in the log, and tables of data, which are partitioned by project_id.
+EVENTS = ("projects", "results", "runs")
+#: Tables and their columns.
 TABLES = {
     "projects": "project_id string, name string, description string, status string, at timestamp, number long",
     "results": "result_type string, data string, at timestamp, number long, project_id string",
@@ -50,37 +56,53 @@ def hashed(files: DataFrame) -> DataFrame:
 class ProjectStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.logs = {t: CommitLog(spark, f"{self.path}/log/{t}") for t in TABLES}
 
     def read(self, table: str) -> DataFrame:
-        """A table, empty before anything is in it."""
-        try:
-            return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], TABLES[table])
-
-    def append(self, table: str, rows: DataFrame) -> None:
+        """What a table holds, empty before anything is in it."""
+        entries = self.logs[table].entries()
+        schema = self.spark.createDataFrame([], TABLES[table]).schema
+        names = [f.name for f in schema]
+        ends = entries.filter(F.col("kind").isin("replace", "remove")).groupBy(F.col("project_id").alias("_ended")).agg(F.max("number").alias("_from"))
+        if table in EVENTS:
+            row = [F.col(f.name) if f.name in ("at", "number") else F.col("project_id") if f.name == "project_id" else F.col("row")[f.name].cast(f.dataType).alias(f.name) for f in schema]
+            rows = entries.filter("kind = 'event'").select(*row, F.col("number").alias("_number"))
+        else:
+            try:
+                data = self.spark.read.schema(f"{TABLES[table]}, commit string").parquet(f"{self.path}/data/{table}")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                return self.spark.createDataFrame([], schema)
+            known = entries.filter("commit is not null").select("commit", F.col("number").alias("_number"))
+            rows = data.join(known, "commit")
+        kept = rows.join(ends, rows.project_id == F.col("_ended"), "left").filter("_from is null or _number >= _from")
+        return kept.select(*names)
+
+    def append(self, table: str, rows: DataFrame, once: tuple[str, int] | None = None, kind: str = "add", project_id: str | None = None) -> None:
+        """Adds rows to a table of data; once: a source and the number of its batch, which is added one time alone."""
+        if table in EVENTS:
+            raise ValueError(f"{table} is a table of events")
+        if once and self.logs[table].has(once):
+            return
         names = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema]
-        writer = rows.select(*names).write.mode("append")
-        (writer if table == "projects" else writer.partitionBy("project_id")).parquet(f"{self.path}/{table}")
+        commit = uuid.uuid4().hex
+        rows.select(*names).write.partitionBy("project_id").parquet(f"{self.path}/data/{table}/commit={commit}")
+        self.logs[table].commit(kind, project_id, commit, once=once)
 
-    def _event(self, table: str, **values) -> None:
-        number = self.read(table).agg(F.coalesce(F.max("number"), F.lit(-1)) + 1).first()[0]
-        schema = self.spark.createDataFrame([], TABLES[table]).schema
-        row = self.spark.range(1).select(*[(F.current_timestamp() if f.name == "at" and "at" not in values else F.lit(number if f.name == "number" else values.get(f.name))).cast(f.dataType).alias(f.name) for f in schema])
-        self.append(table, row)
+    def _event(self, table: str, project_id: str, **values) -> None:
+        self.logs[table].commit("event", project_id, row=values)
 
     # projects: made, changed in part, looked up, gone
     def create_project(self, project_id: str, name: str, description: str | None = None) -> None:
         if not name or not name.strip():
             raise ValueError("a project needs a name")
-        self._event("projects", project_id=project_id, name=name.strip(), description=description, status="created")
+        self._event("projects", project_id, name=name.strip(), description=description, status="created")
 
     def update_project(self, project_id: str, **fields) -> None:
         if "name" in fields and not (fields["name"] or "").strip():
             raise ValueError("a project needs a name")
-        self._event("projects", project_id=project_id, **fields)
+        self._event("projects", project_id, **fields)
 
     def projects(self) -> DataFrame:
         return latest_fields(self.read("projects"), "project_id", ["name", "description", "status"]).filter("status is distinct from 'deleted'").orderBy(F.desc("created_at"), "project_id")
@@ -89,20 +111,31 @@ class ProjectStore:
         return self.projects().filter(F.col("project_id") == project_id)
 
     def set_status(self, project_id: str, status: str) -> None:
-        self._event("projects", project_id=project_id, status=status)
+        self._event("projects", project_id, status=status)
 
     def delete_project(self, project_id: str) -> None:
-        """The project's partitions of all tables go; its events stay, ended by one that says so."""
+        """The project's rows of all tables go, first from the log, then from disk; its events stay, ended by one that says so."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project_id)
         for table in TABLES:
-            if table != "projects":
-                at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/project_id={project_id}")
-                at.getFileSystem(conf).delete(at, True)
-        self._event("projects", project_id=project_id, status="deleted")
+            if table == "projects":
+                continue
+            self.logs[table].commit("remove", project_id)
+            if table not in EVENTS:
+                top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{table}")
+                fs = top.getFileSystem(conf)
+                for commit in fs.listStatus(top) if fs.exists(top) else []:
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(commit.getPath(), f"project_id={folder}"), True)
+        self._event("projects", project_id, status="deleted")
+
+    def compact(self) -> None:
+        """Keeps the logs short."""
+        for log in self.logs.values():
+            log.compact()
 
     # results
     def append_result(self, project_id: str, result_type: str, data: str) -> None:
-        self._event("results", project_id=project_id, result_type=result_type, data=data)
+        self._event("results", project_id, result_type=result_type, data=data)
 
     def results(self) -> DataFrame:
         """The last result of each kind and project: appending one again replaces it here."""
@@ -133,25 +166,23 @@ class ProjectStore:
         self.append("context", elements.withColumn("project_id", F.lit(project_id)))
 
     def replace_transformed(self, project_id: str, files: DataFrame) -> None:
-        """The project's transformed files become these; other projects' partitions aren't touched."""
+        """The project's transformed files become these."""
         rows = hashed(files).withColumn("size", F.octet_length("content").cast("long")).withColumn("project_id", F.lit(project_id))
-        names = [f.name for f in self.spark.createDataFrame([], TABLES["transformed"]).schema]
-        rows.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{self.path}/transformed")
+        self.append("transformed", rows, kind="replace", project_id=project_id)
 
     # stage runs
     def start_run(self, project_id: str, run_id: str, stage: str) -> None:
-        self._event("runs", project_id=project_id, run_id=run_id, stage=stage, event="running")
+        self._event("runs", project_id, run_id=run_id, stage=stage, event="running")
 
     def complete_run(self, project_id: str, run_id: str, stage: str, event: str = "completed", data: str | None = None) -> None:
-        self._event("runs", project_id=project_id, run_id=run_id, stage=stage, event=event, data=data)
+        self._event("runs", project_id, run_id=run_id, stage=stage, event=event, data=data)
 
     def runs(self) -> DataFrame:
         return latest(self.read("runs"), "project_id", "run_id", "stage")
 
     # vectors
     def save_vectors(self, project_id: str, vectors: DataFrame) -> None:
-        rows = vectors.select("chunk_id", "body", "embedding", F.lit(project_id).alias("project_id"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{self.path}/vectors")
+        self.append("vectors", vectors.select("chunk_id", "body", "embedding", F.lit(project_id).alias("project_id")), kind="replace", project_id=project_id)
 
     def load_vectors(self, project_id: str) -> DataFrame:
         return self.read("vectors").filter(F.col("project_id") == project_id)

@@ -203,3 +203,79 @@ def test_nearest_vectors(spark, block):
         want[i] = {p: (int(v), float(s[v])) for p, v in enumerate(order, 1)}
     assert got == want
     assert top_k(queries.limit(0), vectors, 3).count() == 0
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: s.append_result("p", "api", str(k)), range(12)))
+    rows = s.read("results").collect()
+    assert sorted(r.number for r in rows) == list(range(12)) and {r.data for r in rows} == {str(k) for k in range(12)}
+    (last,) = s.results().collect()
+    assert last.number == 11
+
+
+def test_a_crash_before_the_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    s = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    s.put_files("p", files(spark, ("a.py", "python", "x")))
+
+    def crash(*a, **b):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(s.logs["files"], "commit", crash)
+        with pytest.raises(RuntimeError):
+            s.put_files("p", files(spark, ("b.py", "python", "x")))
+    assert [r.path for r in s.read("files").collect()] == ["a.py"]
+    s.put_files("q/1 =", files(spark, ("c.py", "python", "x")))  # a name that a folder's name can't be
+    assert sorted(r.path for r in s.read("files").collect()) == ["a.py", "c.py"]
+    s.delete_project("q/1 =")
+    assert [r.path for r in s.read("files").collect()] == ["a.py"]
+
+
+def test_compact_keeps_what_holds(spark, tmp_path):
+    s = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    for k in range(3):
+        s.append_result("p", f"kind{k % 2}", str(k))
+    s.put_files("p", files(spark, ("a.py", "python", "x")))
+    s.append("files", store.hashed(files(spark, ("b.py", "python", "x"))).withColumn("project_id", F.lit("p")), once=("s", 4))
+    before = sorted(map(str, s.results().collect()))
+    for _ in range(2):
+        s.compact()
+        assert sorted(map(str, s.results().collect())) == before
+    s.append_result("p", "kind0", "9")
+    assert {(r.data, r.number) for r in s.results().collect()} == {("1", 1), ("9", 3)}
+    s.append("files", store.hashed(files(spark, ("b.py", "python", "x"))).withColumn("project_id", F.lit("p")), once=("s", 4))
+    assert s.read("files").count() == 2
+    again = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    assert again.read("files").count() == 2 and again.read("results").count() == 4
+
+
+def test_stream_of_results_once_each(spark, tmp_path, monkeypatch):
+    from stratalith.streaming import results
+
+    s = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    for k in range(4):
+        files(spark, (f"f{k}.py", "python", f"x{k}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("path string, language string, content string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start = lambda: results.store_each(stream(), s, "p", "files", store.hashed, str(tmp_path / "at"), "loader")
+    real, left = s.append, [2]
+
+    def dies(*a, **b):
+        real(*a, **b)
+        left[0] -= 1
+        if left[0] == 0:
+            raise RuntimeError("killed after the store's commit, before the stream's")
+
+    with monkeypatch.context() as m:
+        m.setattr(s, "append", dies)
+        with pytest.raises(Exception, match="killed"):
+            start().awaitTermination(120)
+    assert s.read("files").count() == 2
+    assert start().awaitTermination(120)
+    assert sorted(r.path for r in s.read("files").collect()) == [f"f{k}.py" for k in range(4)]
+    files(spark, ("f9.py", "python", "x")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert start().awaitTermination(120)
+    assert s.read("files").count() == 5 and [r.batch for r in results.progress(s, "files", "loader").collect()] == list(range(5))
