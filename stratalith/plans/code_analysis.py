@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import udtfs
 from ..operators import imports, lexing, paths, stack_rules, symbols
 from ..sources import tree
 from ..sources.tables import shared_dir
@@ -276,3 +277,46 @@ def source_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark, "tree")
     tree.write_tree(files.select("path", "content").unionByName(more), root)
     return tree.scan(spark, root).select("path", "filename", "extension", "language", "size", "loc", F.sha2("content", 256).alias("digest"))
+
+
+def _as_view(spark: SparkSession, sf_dir: str) -> None:
+    udtfs.register(spark)
+    project_files(spark, sf_dir).createOrReplaceTempView("project_files")
+
+
+_BLOCKS: dict[str, list[tuple]] = {
+    JAVA: [("public class OrderController extends BaseController", 0, 7, 25), ("public Order find(@PathVariable Long id)", 1, 12, 16), ("if (id == null)", 2, 14, 14), ("public Order create(@RequestBody Order order)", 1, 18, 21), ("public List<Order> all()", 1, 23, 24)],
+    USER_SERVICE: [("class UserService(Base):", 0, 5, 15), ("def create(self, name):", 1, 11, 15), ("for c in name:", 2, 13, 14)],
+    GO: [("type Job~ struct", 0, 8, 10), ("type Runner interface", 0, 12, 14), ("func (j *Job~) Run(x int) error", 0, 16, 19), ("func main()", 0, 21, 23)],
+}
+
+
+@query(f"WITH {PROJECT_SQL}, {by_hand('want', 'head, depth, a, b', _BLOCKS)} SELECT path, {_shown('head')}, CAST(depth AS INTEGER) AS depth, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line FROM project_files JOIN want USING (kind)")
+def sql_code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of source files by a table function, without their annotations."""
+    _as_view(spark, sf_dir)
+    return spark.sql(r"""SELECT f.path, regexp_replace(u.head, '^(@[A-Za-z]+([(][^)]*[)])? )+', '') AS head, u.depth, u.start_line, u.end_line
+      FROM project_files f, LATERAL code_units(f.path, f.content) u
+      WHERE u.kind = 'block' AND (f.path LIKE '%OrderController.java' OR f.path LIKE '%user_service.py' OR f.path LIKE '%main.go')""")
+
+
+_COLUMNS: dict[str, list[tuple]] = {SCHEMA: [("customers_~", "id", 0, 1), ("customers_~", "name", 1, 0), ("customers_~", "region_id", 1, 0), ("regions_~", "id", 1, 0), ("regions_~", "label", 1, 0)]}
+
+
+@query(f"WITH {PROJECT_SQL}, {by_hand('want', 'table_name, name, nullable, key', _COLUMNS)} SELECT path, {_shown('table_name')}, name, key = 1 AS primary_key FROM project_files JOIN want USING (kind)")
+def sql_ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of DDL by a table function."""
+    _as_view(spark, sf_dir)
+    return spark.sql("SELECT f.path, d.table_name, d.name, coalesce(d.primary_key, false) AS primary_key FROM project_files f, LATERAL ddl_columns(f.content) d WHERE f.path LIKE '%.sql'")
+
+
+@query(
+    f"""WITH {PROJECT_SQL}, l AS (SELECT path, string_split(content, chr(10)) AS lines FROM project_files), w AS (SELECT path, lines, unnest(range(0, len(lines), 20)) AS s FROM l)
+    SELECT path, CAST(s // 20 AS INTEGER) AS chunk, CAST(s AS BIGINT) AS first, CAST(least(s + 20, len(lines)) - 1 AS BIGINT) AS last, sha256(array_to_string(lines[s + 1:s + 20], chr(10))) AS digest
+    FROM w WHERE trim(translate(array_to_string(lines[s + 1:s + 20], chr(10)), chr(10) || chr(9), '  ')) <> ''"""
+)
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of twenty lines by a table function over the lines of each file."""
+    _as_view(spark, sf_dir)
+    spark.sql(r"SELECT path, cast(n AS bigint) AS n, line FROM project_files LATERAL VIEW posexplode(split(content, '\n')) x AS n, line").createOrReplaceTempView("project_lines")
+    return spark.sql("SELECT path, chunk, first, last, sha2(body, 256) AS digest FROM chunks(TABLE(project_lines) PARTITION BY path ORDER BY n, size => 20)")
