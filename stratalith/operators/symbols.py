@@ -126,7 +126,7 @@ def anti_patterns(units: DataFrame, most: int = 50) -> DataFrame:
 
 
 def endpoints(units: DataFrame) -> DataFrame:
-    """(path, framework, method, route, function, line) of web endpoints.
+    """(path, framework, method, route, function, line, parameters) of web endpoints; parameters: what stands between the function's brackets.
 
     A Spring route starts with its class's; Flask gives a row for each of a route's
     methods; Express routes have no function, so one is named by verb and route;
@@ -134,7 +134,9 @@ def endpoints(units: DataFrame) -> DataFrame:
     """
     one = lambda rx, k=1: F.regexp_extract("head", rx, k)
     string = lambda rx, k=1: F.coalesce(quoted(F.nullif(one(rx, k), F.lit(""))), F.lit(""))
-    shown = lambda rows, framework, method, route, function: rows.select("path", F.lit(framework).alias("framework"), F.upper(method).alias("method"), route.alias("route"), function.alias("function"), F.col("start_line").alias("line"))
+    # what follows the function's own name, up to the last bracket
+    after = lambda name: F.regexp_extract(F.element_at(F.split("head", F.concat(F.lit(r"\b"), name, F.lit(r" ?\("))), -1), r"^(.*)\)", 1)
+    shown = lambda rows, framework, method, route, function, given=F.lit(""): rows.select("path", F.lit(framework).alias("framework"), F.upper(method).alias("method"), route.alias("route"), function.alias("function"), F.col("start_line").alias("line"), given.alias("parameters"))
     java_name = one(rf"\b(?:public|private|protected) {_TYPED} (\w+) ?\(")
 
     mapping = rf"@({_VERBS}|Request)Mapping\b ?(?:\(([^)]*)\))?"
@@ -142,16 +144,16 @@ def endpoints(units: DataFrame) -> DataFrame:
     spring = units.filter((F.col("language") == "Java") & F.col("head").rlike(mapping) & (java_name != "")).join(classes, ["path", "parent"], "left")
     own = F.coalesce(quoted(F.nullif(F.regexp_extract(one(mapping, 2), r'"(\d+)"', 1), F.lit(""))), F.lit(""))
     verb = F.when(one(mapping) == "Request", F.lit("GET")).otherwise(one(mapping))
-    out = shown(spring, "Spring", verb, F.replace(F.concat(F.coalesce("prefix", F.lit("")), own), F.lit("//"), F.lit("/")), java_name)
+    out = shown(spring, "Spring", verb, F.replace(F.concat(F.coalesce("prefix", F.lit("")), own), F.lit("//"), F.lit("/")), java_name, after(java_name))
 
     def_name = one(r"\bdef (\w+) ?\(")
     python = units.filter((F.col("language") == "Python") & (def_name != ""))
     flask = python.filter(F.col("head").rlike(r'@\w+\.route ?\("'))
     given = F.transform(F.regexp_extract_all(one(r"methods ?= ?[\[(]([^\])]*)"), F.lit(r'"(\d+)"'), F.lit(1)), quoted)
     flask = flask.withColumn("verb", F.explode(F.when(F.size(given) > 0, given).otherwise(F.array(F.lit("GET")))))
-    out = out.unionByName(shown(flask, "Flask", F.col("verb"), string(r'@\w+\.route ?\("(\d+)"'), def_name))
+    out = out.unionByName(shown(flask, "Flask", F.col("verb"), string(r'@\w+\.route ?\("(\d+)"'), def_name, after(def_name)))
     fast = rf'@(?:app|router)\.({_CALLS}) ?\("(\d+)"'
-    out = out.unionByName(shown(python.filter(F.col("head").rlike(fast)), "FastAPI", one(fast), string(fast, 2), def_name))
+    out = out.unionByName(shown(python.filter(F.col("head").rlike(fast)), "FastAPI", one(fast), string(fast, 2), def_name, after(def_name)))
 
     express = rf'\b(?:app|router)\.({_CALLS}) ?\("(\d+)"'
     routes = units.filter(F.col("language").isin("JavaScript", "TypeScript") & F.col("head").rlike(express))
@@ -160,7 +162,7 @@ def endpoints(units: DataFrame) -> DataFrame:
 
     http = rf'\[Http({_VERBS})(?: ?\("(\d+)")?'
     sharp = units.filter((F.col("language") == "C#") & F.col("head").rlike(http) & (java_name != ""))
-    out = out.unionByName(shown(sharp, "ASP.NET", one(http), string(http, 2), java_name))
+    out = out.unionByName(shown(sharp, "ASP.NET", one(http), string(http, 2), java_name, after(java_name)))
 
     urls = units.filter((F.col("language") == "Python") & F.col("path").contains("urls.py"))
     pairs = F.arrays_zip(*[F.regexp_extract_all("head", F.lit(r'\bpath ?\("(\d+)"\W+(\w+)'), F.lit(k)).alias(f"g{k}") for k in (1, 2)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udtfs
-from ..operators import imports, lexing, paths, stack_rules, symbols
+from ..operators import api_docs, imports, lexing, paths, stack_rules, symbols
 from ..sources import tree
 from ..sources.tables import shared_dir
 from .project_corpus import FILES, PROJECT_SQL, _literal, project_files
@@ -59,12 +59,12 @@ SYMBOLS: dict[str, list[tuple]] = {
     ],
     REPOSITORY: [
         ("interface", "OrderRepository", 5, 6),
-        ("class", "Order", 8, 11),
+        ("class", "Order", 8, 13),
         ("import", "com.shop.Order", 3, 3),
-        ("annotation", "Entity", 8, 11),
-        ("annotation", "Table", 8, 11),
-        ("entity", "Order", 8, 11),
-        ("table", "orders_~", 8, 11),
+        ("annotation", "Entity", 8, 13),
+        ("annotation", "Table", 8, 13),
+        ("entity", "Order", 8, 13),
+        ("table", "orders_~", 8, 13),
         ("jpa_repository", "Order", 5, 6),
     ],
     USERS: [
@@ -150,7 +150,7 @@ ENDPOINTS: dict[str, list[tuple]] = {
 @query(f"WITH {PROJECT_SQL}, {by_hand('want', 'framework, method, route, name, line', ENDPOINTS)} SELECT path, framework, method, {_shown('route')}, replace(name, '~', CAST(project AS VARCHAR)) AS function, CAST(line AS INTEGER) AS line FROM project_files JOIN want USING (kind)")
 def endpoint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web endpoints of six frameworks, class prefixes joined to routes."""
-    return symbols.endpoints(lexing.code_units(project_files(spark, sf_dir)))
+    return symbols.endpoints(lexing.code_units(project_files(spark, sf_dir))).drop("parameters")
 
 
 @query(f"WITH {PROJECT_SQL}, {by_hand('want', 'pattern, detail, line', {SERVICE: [('long method', 'total', 12)], USER_SERVICE: [('global variable', 'counter', 12)]})} SELECT path, pattern, detail, CAST(line AS INTEGER) AS line FROM project_files JOIN want USING (kind)")
@@ -320,3 +320,59 @@ def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _as_view(spark, sf_dir)
     spark.sql(r"SELECT path, cast(n AS bigint) AS n, line FROM project_files LATERAL VIEW posexplode(split(content, '\n')) x AS n, line").createOrReplaceTempView("project_lines")
     return spark.sql("SELECT path, chunk, first, last, sha2(body, 256) AS digest FROM chunks(TABLE(project_lines) PARTITION BY path ORDER BY n, size => 20)")
+
+
+def _api(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = project_files(spark, sf_dir)
+    units, own = lexing.code_units(files), files.select("project", "path")
+    found = symbols.endpoints(units)
+    return found.join(own, "path"), api_docs.parameters_of(found), api_docs.models_of(units).join(own, "path")
+
+
+#: (method, route, function, parameters, body, query).
+OPERATIONS: dict[str, list[tuple]] = {
+    JAVA: [("GET", "/api/orders~/{id}", "find", "id path true integer", "", ""), ("POST", "/api/orders~", "create", "", "Order", ""), ("GET", "/api/orders~/all", "all", "", "", "")],
+    USERS: [("POST", "/users~", "create_user", "name query true string, mail query false string", "", "?name={value}&mail={value}"), ("GET", "/users~/{user_id}", "get_user", "user_id path true integer", "", "")],
+    FLASK: [("GET", "/items~", "items", "", "", ""), ("POST", "/items~", "items", "", "", ""), ("GET", "/ping", "ping", "", "", "")],
+    URLS: [("GET", "/items~/", "views", "", "", ""), ("GET", "/about/", "about_view", "", "", "")],
+    EXPRESS: [("GET", "/shop~/{id}", "get__shop~_id", "id path true string", "", ""), ("POST", "/shop~", "post__shop~", "", "", "")],
+    SHARP: [("GET", "/{id}", "Get", "id path true integer", "", ""), ("DELETE", "/", "Remove", "id query true integer", "", "?id={value}")],
+}
+_OPERATIONS = by_hand("want", "method, route, name, given, body, asked", OPERATIONS)
+
+
+@query(
+    f"""WITH {PROJECT_SQL}, {_OPERATIONS} SELECT project, {_shown('route')}, lower(method) AS method, 'Endpoint: ' || replace(name, '~', CAST(project AS VARCHAR)) AS description, given AS parameters,
+    CASE WHEN body = '' THEN '' WHEN EXISTS (SELECT 1 FROM project_files o WHERE o.project = f.project AND o.path LIKE '%OrderRepository.java') THEN '$ref #/components/schemas/' || body ELSE 'type object' END AS body FROM project_files f JOIN want USING (kind)"""
+)
+def openapi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of each project's OpenAPI document, read back from its JSON."""
+    documents = api_docs.openapi(*_api(spark, sf_dir))
+    read = documents.select("project", F.from_json("document", api_docs.DOCUMENT).alias("d")).filter("d.openapi = '3.0.0'")
+    routes = read.select("project", F.explode("d.paths").alias("route", "operations"))
+    each = routes.select("project", "route", F.explode("operations").alias("method", "o"))
+    given = F.array_join(F.transform("o.parameters", lambda p: F.concat_ws(" ", p["name"], p["in"], p["required"].cast("string"), p["schema"]["type"])), ", ")
+    body = F.coalesce(F.array_join(F.transform(F.map_entries(F.element_at("o.requestBody.content", "application/json")["schema"]), lambda e: F.concat_ws(" ", e["key"], e["value"])), ""), F.lit(""))
+    return each.select("project", "route", "method", "o.description", given.alias("parameters"), body.alias("body"))
+
+
+@query(
+    f"""WITH {PROJECT_SQL}, {_OPERATIONS} SELECT project, method || ' ' || replace(route, '~', CAST(project AS VARCHAR)) AS name, '{{{{base_url}}}}' || replace(route, '~', CAST(project AS VARCHAR)) AS raw, body <> '' AND method = 'POST' AS has_body
+    FROM project_files JOIN want USING (kind)"""
+)
+def postman_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of each project's Postman collection, read back from its JSON."""
+    found, given, _ = _api(spark, sf_dir)
+    schema = "item array<struct<name string, request struct<url struct<raw string>, body struct<mode string>>>>"
+    items = api_docs.postman(found, given).select("project", F.explode(F.from_json("document", schema)["item"]).alias("i"))
+    return items.select("project", "i.name", "i.request.url.raw", F.col("i.request.body").isNotNull().alias("has_body"))
+
+
+@query(
+    f"""WITH {PROJECT_SQL}, {_OPERATIONS} SELECT project, method || ' ' || replace(route, '~', CAST(project AS VARCHAR)) AS endpoint,
+    'curl -X ' || method || ' ''' || replace(route, '~', CAST(project AS VARCHAR)) || asked || '''' || CASE WHEN method = 'POST' THEN ' -H ''Content-Type: application/json'' -d ''{{}}''' ELSE '' END AS command FROM project_files JOIN want USING (kind)"""
+)
+def curl_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curl command for each endpoint."""
+    found, given, _ = _api(spark, sf_dir)
+    return api_docs.curl_commands(found, given)

@@ -77,6 +77,8 @@ public interface OrderRepository extends JpaRepository<Order, Long> {
 @Entity
 @Table(name = "orders_~")
 class Order {
+    private Long id;
+    private List<String> notes = new ArrayList<>();
 }
 """,
     ),
