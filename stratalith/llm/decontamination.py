@@ -1,21 +1,25 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds join documents to items, then Smith-Waterman alignment.
 
 Benchmark items come to the driver in blocks of at most ITEM_BYTES of text, one
 at a time, and each block is broadcast, so memory is bounded whatever the
-benchmark's size.  For a block, one pass over the documents looks for the items'
-n-grams.  Every n-gram of an item is a seed, however common it is: an edited or
-partial copy may have kept any of them.  Hits of one item are grouped by place.
-No alignment can score more than its words that the item has, at MATCH each, less
-the others at GAP, so most groups are ruled out by the best sum of a run of words;
-the words around the others are aligned with the item.  A copy is found if its
-alignment score reaches LEAST of the best possible one for min(words, LONG) words
-and it has SEED words of the item in a row.
+benchmark's size.  For a block, one pass over the documents counts the items' words,
+and another looks for copies.
+
+A copy is found if its alignment score reaches LEAST of the best possible one for
+min(words, LONG) words and it has SEED words of the item in a row.  That takes a certain
+number m of matching words.  An item's words that the corpus has stand by how often it has
+them; without RARE of the rarest n - m + RARE of them, within what an alignment spans,
+fewer than m words are left to match.  So those are the item's seeds, which loses
+nothing; words and phrases that all items share come last and are never joined on.
+What has so many seeds close together must have SEED words in a row too.  No alignment
+can score more than its words that the item has, at MATCH each, less the others at GAP,
+which rules out most of the rest; the words around the others are aligned with the item.
 
 Words are compared without case and outer punctuation; tokens of punctuation
-alone don't count.  Items of fewer words than a seed have themselves as seed and
+alone don't count.  Items of fewer words than SEED have themselves as seed and
 one hit is enough.  Null or empty texts and items match nothing; rows with equal
-ids are looked at each by itself (equal result rows are given once); rows with a null
-id are left out; further columns are ignored; an empty table gives an empty result.
+ids, or without one, are looked at each by itself (of each document's and item's id
+the best row is given); further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 SEED, LEAST, LONG = 3, 0.5, 30
+RARE = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEM_BYTES = 2 << 20
 PART_BYTES = 1 << 20
@@ -51,9 +56,9 @@ class PlainHashes(B.WordHashes):
 
 
 class Items:
-    """A block of items: their words, and their distinct n-grams in order of hash with the item."""
+    """A block of items: their words, each item's different words and n-grams, and all words of the block; all sorted."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int | None, str | None]]):
         hashes = PlainHashes()
         self.ids, self.words = [], []
         for i, text in rows:
@@ -61,18 +66,31 @@ class Items:
             if (x := x[x != 0]).size:
                 self.ids.append(i)
                 self.words.append(B.mixed(x))
-        keys, items = [], []
-        for k, x in enumerate(self.words):
-            g = np.unique(B.grams(x, SEED))
-            keys.append(g)
-            items.append(np.full(len(g), k))
-        keys, items = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (keys, items))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item = keys[order].astype(np.uint64), items[order].astype(np.int64)
+        self.grams = [np.unique(B.grams(x, SEED)) for x in self.words]
         self.vocabulary = [np.unique(x) for x in self.words]
+        self.all_words = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         # one- and two-word items: their whole sequence
         self.short = [k for k, x in enumerate(self.words) if len(x) < SEED]
 
+    def seeds(self, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Seed words in order, the item of each, and how many seeds each item's copies must have; counts: how often the corpus has each of all_words."""
+        keys, items, need = [], [], np.zeros(len(self.words), np.int64)
+        for k, x in enumerate(self.words):
+            if len(x) < SEED:
+                continue
+            n = counts[np.searchsorted(self.all_words, x)]
+            x, n = x[n > 0], n[n > 0]
+            matches = max(1, int(np.ceil(least * min(len(self.words[k]), LONG))))
+            if len(x) < matches:  # too few of its words are anywhere
+                continue
+            need[k] = min(RARE, matches)
+            rarest = np.argsort(n, kind="stable")[: len(x) - matches + int(need[k])]
+            keys.append(np.unique(x[rarest]))
+            items.append(np.full(len(keys[-1]), k))
+        keys, items = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (keys, items))
+        order = np.argsort(keys, kind="stable")
+        return keys[order].astype(np.uint64), items[order].astype(np.int64), need
+
 
 def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score of sequences a and b, and where in b it starts and ends."""
@@ -109,7 +127,7 @@ def highest(words: np.ndarray, vocabulary: np.ndarray) -> int:
 
 def item_blocks(bench: DataFrame, most: int = ITEM_BYTES) -> Iterator[Items]:
     rows, held = [], 0
-    for r in bench.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").toLocalIterator():
+    for r in bench.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         rows.append((r[0], r[1]))
         held += len(r[1] or "") * 4 + 64
         if held >= most:
@@ -151,18 +169,50 @@ def found_at(keys: np.ndarray, g: np.ndarray) -> np.ndarray:
 def leaks(docs: DataFrame, bench: DataFrame, least: float = LEAST, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """Returns RESULT: one row for each document and item of which it has a copy, with the best alignment."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], RESULT)
     for items in item_blocks(bench, item_bytes):
         out = out.unionByName(block_leaks(docs, items, least))
     return out
 
 
+def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often the documents have each word of a block of items; tasks send a row for each such word at most."""
+    words = docs.sparkSession.sparkContext.broadcast(items.all_words)
+
+    def count(batches):
+        total = np.zeros(len(words.value), np.int64)
+        for _, x, _, _ in plain_words(batches):
+            total += np.bincount(np.searchsorted(words.value, x[found_at(words.value, x)]), minlength=len(total))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["word", "n"])
+
+    out = np.zeros(len(items.all_words), np.int64)
+    if len(out):
+        for r in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            out[r["word"]] = r["n"]
+    return out
+
+
+def crowded(row: np.ndarray, item: np.ndarray, pos: np.ndarray, need: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Which seeds, in order of document, item and place, lie among so many of their document and item as that needs, within its span."""
+    out = np.zeros(len(pos), bool)
+    for t in np.unique(need[item]).tolist():
+        mine = np.flatnonzero(need[item] == t)
+        if len(mine) < t:
+            continue
+        a, b = mine[: len(mine) - t + 1], mine[t - 1 :]
+        ok = (row[a] == row[b]) & (item[a] == item[b]) & (pos[b] - pos[a] <= span[item[a]])
+        out[mine[B.covered(np.flatnonzero(ok), t, len(mine))]] = True
+    return out
+
+
 def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    seeds = items.seeds(word_counts(docs, items), least)
+    shared = docs.sparkSession.sparkContext.broadcast((items, seeds))
 
     def search(batches):
-        b = shared.value
+        b, (keys, seed_item, need) = shared.value
         length = np.array([len(w) for w in b.words], np.int64)
         # an alignment has n matches at most, and each further word of the document takes 1 from what they score
         spans = (MATCH + 1) * length - np.floor(least * MATCH * np.minimum(length, LONG)).astype(np.int64)
@@ -170,16 +220,16 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
         for k in b.short:
             short_keys[tuple(b.words[k].tolist())].append(k)
         for ids, x, row, place in plain_words(batches):
-            got: dict[tuple[int, int], tuple] = {}
-            g = B.grams(x, SEED)
-            at = np.flatnonzero((row[: len(g)] == row[SEED - 1 : SEED - 1 + len(g)]) & found_at(b.keys, g)) if len(g) else np.zeros(0, np.int64)
-            lo, hi = np.searchsorted(b.keys, g[at]), np.searchsorted(b.keys, g[at], side="right")
+            got: dict[tuple[int | None, int | None], tuple] = {}
+            at = np.flatnonzero(found_at(keys, x))
+            lo, hi = np.searchsorted(keys, x[at]), np.searchsorted(keys, x[at], side="right")
             n = hi - lo
             pos = np.repeat(at, n)
-            hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            item = b.item[hit]
+            item = seed_item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             order = np.lexsort((pos, item, row[pos]))
             pos, item = pos[order], item[order]
+            keep = crowded(row[pos], item, pos, need, spans)
+            pos, item = pos[keep], item[keep]
             doc = row[pos]
             # a new group where the document or item changes or more lies between than an alignment spans
             new = np.ones(len(pos), bool)
@@ -189,11 +239,11 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
             for s, e in zip(firsts, [*firsts[1:], len(pos)] if firsts else [], strict=True):
                 k, d = int(item[s]), int(doc[s])
                 words, span, enough = b.words[k], int(spans[k]), least * min(len(b.words[k]), LONG) * MATCH
-                a0, a1 = max(int(edge[d]), int(pos[s]) - span), min(int(edge[d + 1]), int(pos[e - 1]) + SEED + span)
+                a0, a1 = max(int(edge[d]), int(pos[s]) - span), min(int(edge[d + 1]), int(pos[e - 1]) + 1 + span)
                 # windows that overlap by what an alignment spans at most
                 for w0 in range(a0, a1, 4 * len(words) + 64):
                     w1 = min(a1, w0 + 4 * len(words) + 64 + span)
-                    if highest(x[w0:w1], b.vocabulary[k]) < enough:
+                    if highest(x[w0:w1], b.vocabulary[k]) < enough or not np.isin(B.grams(x[w0:w1], SEED), b.grams[k]).any():
                         continue
                     score, f, t = local_alignment(words, x[w0:w1])
                     if score > 0 and score >= enough:

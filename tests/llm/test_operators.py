@@ -440,3 +440,29 @@ def test_long_words_that_mirror_each_other(spark):
         h, counts = B.word_hashes([one.encode(), b"", other.encode(), b"a\0", b"a", b"b A a"], **change)
         assert counts.tolist() == [1, 0, 1, 1, 1, 3]
         assert len(set(h.tolist())) == (5 if change.get("fold") else 6) and h[3] == h[6]
+
+
+def test_decontamination_with_a_phrase_that_all_items_share(spark):
+    """A stock phrase is no seed: an input full of it takes about as long as one without, and copies are found as before."""
+    import time
+
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(20000)}"
+    phrase = "which of the following".split()
+    took, items = {}, [[*phrase, *(word() for _ in range(26))] for _ in range(800)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for stock in (False, True):
+        rows = []
+        for i in range(120):
+            w = [word() for _ in range(2000)]
+            for at in range(0, 2000, 50) if stock else ():
+                w[at : at + 4] = phrase
+            rows.append((i, " ".join(w)))
+        copy = [x if k % 5 else "new" for k, x in enumerate(items[7])]
+        rows += [(500, " ".join([*(word() for _ in range(300)), *copy, *phrase * 3])), (None, " ".join(items[9])), (None, " ".join(items[9]))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+        start = time.time()
+        got = {(x.doc_id, x.item_id) for x in decontamination.leaks(docs, bench).collect()}
+        took[stock] = time.time() - start
+        assert got == {(500, 7), (None, 9)}
+    assert took[True] < 3 * took[False] + 5
