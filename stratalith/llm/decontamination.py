@@ -2,18 +2,20 @@
 
 Benchmark items come to the driver in blocks of at most ITEM_BYTES of text, one
 at a time, and each block is broadcast, so memory is bounded whatever the
-benchmark's size.  For a block, one pass over the documents counts the items' words,
-and another looks for copies.
+benchmark's size.  For a block, one pass over the documents looks for copies.
 
 A copy is found if its alignment score reaches LEAST of the best possible one for
-min(words, LONG) words and it has SEED words of the item in a row.  That takes a certain
-number m of matching words.  An item's words that the corpus has stand by how often it has
-them; without RARE of the rarest n - m + RARE of them, within what an alignment spans,
-fewer than m words are left to match.  So those are the item's seeds, which loses
-nothing; words and phrases that all items share come last and are never joined on.
-What has so many seeds close together must have SEED words in a row too.  No alignment
-can score more than its words that the item has, at MATCH each, less the others at GAP,
-which rules out most of the rest; the words around the others are aligned with the item.
+min(words, LONG) words and it has SEED words of the item in a row, an n-gram.  An
+n-gram that at most FEW items have is a rare seed: each of its hits names its items.
+One that more items have, a stock phrase, is never joined on.  It counts only close to
+rare words of an item, which a copy can't do without: it takes a certain number m of
+matching words.  An item's words that the corpus has stand by how often it has them;
+without RARE of the rarest n - m + RARE of them, within what an alignment spans, fewer
+than m words are left to match.  So nothing is lost, and what all items share makes no
+candidates.  (The corpus is counted only if a block has stock phrases.)
+No alignment can score more than its words that the item has, at MATCH each, less the
+others at GAP, which rules out most candidates; the words around the others are aligned
+with the item.
 
 Words are compared without case and outer punctuation; tokens of punctuation
 alone don't count.  Items of fewer words than SEED have themselves as seed and
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 SEED, LEAST, LONG = 3, 0.5, 30
-RARE = 4
+FEW, RARE = 4, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEM_BYTES = 2 << 20
 PART_BYTES = 1 << 20
@@ -56,7 +58,7 @@ class PlainHashes(B.WordHashes):
 
 
 class Items:
-    """A block of items: their words, each item's different words and n-grams, and all words of the block; all sorted."""
+    """A block of items: their words, each item's different words and n-grams, rare and stock n-grams, and all words of the block; all sorted."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         hashes = PlainHashes()
@@ -68,6 +70,13 @@ class Items:
                 self.words.append(B.mixed(x))
         self.grams = [np.unique(B.grams(x, SEED)) for x in self.words]
         self.vocabulary = [np.unique(x) for x in self.words]
+        # rare n-grams with their items, and those that more items have
+        each, times = np.unique(np.concatenate(self.grams), return_counts=True) if self.words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.stock = each[times > FEW]
+        rare = [g[~np.isin(g, self.stock)] for g in self.grams]
+        keys = np.concatenate([np.zeros(0, np.uint64), *rare])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item = keys[order], np.repeat(np.arange(len(rare)), [len(g) for g in rare])[order]
         self.all_words = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         # one- and two-word items: their whole sequence
         self.short = [k for k, x in enumerate(self.words) if len(x) < SEED]
@@ -207,12 +216,19 @@ def crowded(row: np.ndarray, item: np.ndarray, pos: np.ndarray, need: np.ndarray
     return out
 
 
+def named(keys: np.ndarray, items: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and items: each place of `at`, whose value is among the sorted keys, with all items of that."""
+    lo, hi = np.searchsorted(keys, values[at]), np.searchsorted(keys, values[at], side="right")
+    n = hi - lo
+    return np.repeat(at, n), items[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    seeds = items.seeds(word_counts(docs, items), least)
+    seeds = items.seeds(word_counts(docs, items), least) if len(items.stock) else None
     shared = docs.sparkSession.sparkContext.broadcast((items, seeds))
 
     def search(batches):
-        b, (keys, seed_item, need) = shared.value
+        b, seeds = shared.value
         length = np.array([len(w) for w in b.words], np.int64)
         # an alignment has n matches at most, and each further word of the document takes 1 from what they score
         spans = (MATCH + 1) * length - np.floor(least * MATCH * np.minimum(length, LONG)).astype(np.int64)
@@ -221,15 +237,21 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
             short_keys[tuple(b.words[k].tolist())].append(k)
         for ids, x, row, place in plain_words(batches):
             got: dict[tuple[int | None, int | None], tuple] = {}
-            at = np.flatnonzero(found_at(keys, x))
-            lo, hi = np.searchsorted(keys, x[at]), np.searchsorted(keys, x[at], side="right")
-            n = hi - lo
-            pos = np.repeat(at, n)
-            item = seed_item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            g = B.grams(x, SEED)
+            whole = row[: len(g)] == row[SEED - 1 : SEED - 1 + len(g)]
+            pos, item = named(b.keys, b.item, g, np.flatnonzero(whole & found_at(b.keys, g)))
+            if seeds is not None and len(stock := np.flatnonzero(whole & found_at(b.stock, g))):
+                # rare words within reach of a stock phrase
+                keys, seed_item, need = seeds
+                reach = int(spans.max())
+                close = B.covered(np.maximum(stock - reach, 0), 2 * reach + SEED, len(x))
+                more, its = named(keys, seed_item, x, np.flatnonzero(close & found_at(keys, x)))
+                order = np.lexsort((more, its, row[more]))
+                more, its = more[order], its[order]
+                many = crowded(row[more], its, more, need, spans)
+                pos, item = np.concatenate((pos, more[many])), np.concatenate((item, its[many]))
             order = np.lexsort((pos, item, row[pos]))
             pos, item = pos[order], item[order]
-            keep = crowded(row[pos], item, pos, need, spans)
-            pos, item = pos[keep], item[keep]
             doc = row[pos]
             # a new group where the document or item changes or more lies between than an alignment spans
             new = np.ones(len(pos), bool)
@@ -239,7 +261,7 @@ def block_leaks(docs: DataFrame, items: Items, least: float) -> DataFrame:
             for s, e in zip(firsts, [*firsts[1:], len(pos)] if firsts else [], strict=True):
                 k, d = int(item[s]), int(doc[s])
                 words, span, enough = b.words[k], int(spans[k]), least * min(len(b.words[k]), LONG) * MATCH
-                a0, a1 = max(int(edge[d]), int(pos[s]) - span), min(int(edge[d + 1]), int(pos[e - 1]) + 1 + span)
+                a0, a1 = max(int(edge[d]), int(pos[s]) - span), min(int(edge[d + 1]), int(pos[e - 1]) + SEED + span)
                 # windows that overlap by what an alignment spans at most
                 for w0 in range(a0, a1, 4 * len(words) + 64):
                     w1 = min(a1, w0 + 4 * len(words) + 64 + span)
