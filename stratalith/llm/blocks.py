@@ -56,6 +56,14 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_row(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a column `row`, unique and in order of doc_id (null last), then of text; the doc_id itself if that is unique and never null."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def packed(x: np.ndarray) -> bytes:
     """An unsigned array as compressed byte planes."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)

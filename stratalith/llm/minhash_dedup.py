@@ -21,9 +21,10 @@ With 5 rows and 28 bands a pair at J = 0.85 shares no band with probability
 The sketch's slack is four standard deviations of the sample and four of the count.
 
 Null or empty text has an empty set and is linked with nothing; fewer words than
-a shingle make one shingle; rows with equal doc_id count as one document with
-the first text in order; null doc_ids are left out; further columns are ignored;
-an empty table gives an empty result.
+a shingle make one shingle.  Every row is a document: with repeated or null doc_ids, rows
+are numbered by doc_id (null last) and text, the first row of a component is kept, and
+its doc_id, null if it has none, is the component's; further columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -397,11 +398,14 @@ def links_apart(apart: DataFrame, reps: DataFrame, docs: DataFrame, words: int,
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, centres: int = CENTRES, small: int = SMALL) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, class_id (the smallest document with an equal set)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = B.stored(signed(docs, words, rows, bands), "signatures")
-    if sigs.select("doc_id").distinct().count() < sigs.count():  # repeated ids: the first text stands
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        sigs = B.stored(signed(docs, words, rows, bands), "signatures")
+    if not sigs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
+        numbered = B.by_row(docs, "row")
+        found = near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), words, percent, rows, bands, centres, small)
+        of = lambda name: numbered.select(F.col("row").alias(f"{name}_row"), F.col("doc_id").alias(name))
+        found = found.toDF("a_row", "n_shingles", "b_row", "kept", "c_row").join(of("a"), "a_row").join(of("b"), "b_row").join(of("c"), "c_row")
+        return found.select(F.col("a").alias("doc_id"), "n_shingles", F.col("b").alias("component_id"), "kept", F.col("c").alias("class_id"))
     full = sigs.filter("n_shingles > 0")
     classes = full.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"))
     reps = full.join(classes, full.doc_id == classes.id, "left_semi").withColumnRenamed("doc_id", "id")

@@ -466,3 +466,11 @@ def test_decontamination_with_a_phrase_that_all_items_share(spark):
         took[stock] = time.time() - start
         assert got == {(500, 7), (None, 9)}
     assert took[True] < 3 * took[False] + 5
+
+
+def test_minhash_keeps_every_row(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, text), (None, text), (5, "other " * 9), (2, None), (2, ""), (None, None), (9, text + " more")]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, row int")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(docs, 3, 85).collect()), key=str)
+    assert got == sorted([(5, 38, 5, True), (5, 38, 5, False), (None, 38, 5, False), (5, 1, 5, True), (2, 0, 2, True), (2, 0, 2, True), (None, 0, None, True), (9, 39, 5, False)], key=str)
