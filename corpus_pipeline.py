@@ -2,12 +2,14 @@
 
 Each stage is (name, function of spark, docs and sf_dir); what it returns is
 written as Parquet and read again before the next one.  All but the last return
-the columns of documents.
+the columns of documents, whatever those are called.
 
 Every row is a document of its own, whatever its doc_id: what a stage finds in one
 row drops or changes that row alone.  Where the first of several documents stays,
 a smaller doc_id comes first, of equal ones the smaller text, and null ids last.
-Labels are those of the doc_id.
+Labels are those of the doc_id.  A null or empty text is never toxic by a lexicon, near
+anything or a copy, and stays; only what loses all its words in the third stage goes.
+Of an empty table each stage makes an empty one.
 """
 
 from __future__ import annotations
@@ -23,61 +25,60 @@ from stratalith.llm.substring_dedup import substring_dedup
 from stratalith.llm.toxicity import SAMPLE, learned, scored
 
 
-#: A column of the stages' own: the number of a row.
-ROW = "_row"
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row in a column of a name that docs don't have, and the name."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    return blocks.by_row(docs, row), row
 
 
-def by_row(docs: DataFrame) -> DataFrame:
-    """docs with ROW, unique and in order of doc_id (null last), then of text; the doc_id itself if that is unique and never null."""
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    return blocks.stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def texts(rows: DataFrame, row: str) -> DataFrame:
+    """What the operators read, with a row's number as doc_id."""
+    return rows.select(F.col(row).alias("doc_id"), "text")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """What the operators read, with ROW as doc_id."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+def without(rows: DataFrame, row: str, bad: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows whose numbers aren't among the doc_ids of bad, with the columns of docs."""
+    return rows.join(bad.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects."""
-    rows = by_row(docs)
-    model = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SAMPLE)
-    bad = scored(numbered(rows), model).filter("predicted = 1").select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    rows, row = numbered(docs)
+    model = learned(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), SAMPLE)
+    return without(rows, row, scored(texts(rows, row), model).filter("predicted = 1"), docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (shingles of five words, similarity 0.8)."""
-    rows = by_row(docs)
-    gone = near_duplicates(numbered(rows), words=5, percent=80).filter("not kept").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(docs.columns)
+    rows, row = numbered(docs)
+    return without(rows, row, near_duplicates(texts(rows, row), words=5, percent=80).filter("not kept"), docs)
 
 
 def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts word windows that an earlier document has; documents left without words go."""
-    rows = by_row(docs)
-    kept = substring_dedup(numbered(rows)).select(F.col("doc_id").alias("id"), "n_words", "n_removed", "kept_text")
-    changed = blocks.stored(kept, "cut").filter("n_removed > 0")
-    both = rows.join(changed, rows[ROW] == changed.id, "left").filter("n_removed is null or n_removed < n_words")
-    text = F.when(F.col("n_removed").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    rows, row = numbered(docs)
+    kept = substring_dedup(texts(rows, row)).select("doc_id", "n_words", "n_removed", "kept_text")
+    changed = blocks.stored(kept, "cut").filter("n_removed > 0").select(F.col("doc_id").alias(row), F.struct("n_words", "n_removed", "kept_text").alias(f"{row}_cut"))
+    of = lambda name: F.col(f"{row}_cut.{name}")
+    both = rows.join(changed, row, "left").filter(of("n_removed").isNull() | (of("n_removed") < of("n_words")))
+    text = F.when(of("n_removed").isNotNull(), of("kept_text")).otherwise(F.col("text"))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(of("n_removed").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[v.alias(c) for c, v in out.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    rows = by_row(docs)
-    bad = leaks(numbered(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    rows, row = numbered(docs)
+    return without(rows, row, leaks(texts(rows, row), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into windows of tokens."""
-    return pack(docs)
+    return pack(docs.select("doc_id", "text"))
 
 
 STAGES = [("toxicity", toxicity), ("minhash_dedup", minhash_dedup), ("substring_dedup", substring_cut), ("decontamination", decontamination), ("packing", packing)]
