@@ -140,3 +140,29 @@ def test_run_against_plain_python(spark, tmp_path):
     tokens = sorted((str(i), len(end.encode(t, add_special_tokens=False).ids) + 1) for i, t in want)
     starts = corpus_pipeline.run(spark, sf).filter("start = 0").collect()
     assert sorted((str(x.doc_id), x.doc_tokens) for x in starts) == tokens
+
+
+def test_columns_of_clashing_names_and_awkward_texts(spark, tmp_path):
+    """Columns that the stages or operators use themselves come out as they went in."""
+    r = random.Random(3)
+    plain = lambda n=40: " ".join(f"w{r.randint(0, 900)}" for _ in range(n))
+    spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, plain(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = plain(20)
+    kept = [(1, f"{shared} {plain()}"), (2, plain()), (3, None), (4, ""), (5, " \n"), (6, plain(3000))]
+    names = ["id", "row", "_row", "_row_", "n_words", "n_removed", "kept_text", "kept", "predicted", "component_id", "a.b", "class_id", "n"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names)
+    frame = lambda rows: spark.createDataFrame([(i, t, *(f"{c}{i}" for c in names)) for i, t in rows], schema)
+    docs = frame([*kept, (7, f"own {shared}")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {x["doc_id"]: x for x in out.collect()}
+        assert set(got) == set(range(1, 8)), name
+        assert all(x[c] == f"{c}{i}" for i, x in got.items() for c in names), name
+        assert got[7]["text"] == ("own" if name == "substring_dedup" else f"own {shared}")
+        assert all(got[i]["text"] == t for i, t in kept)
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert {x["doc_id"] for x in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == set(range(1, 8))
+    assert corpus_pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0
