@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import applied, assessments, code_analysis, code_corpus, corpus, records, store_queries  # noqa: F401
+from . import applied, assessments, audit_queries, code_analysis, code_corpus, corpus, records, store_queries  # noqa: F401

@@ -64,25 +64,33 @@ class ProjectStore:
         schema = self.spark.createDataFrame([], TABLES[table]).schema
         names = [f.name for f in schema]
         ends = entries.filter(F.col("kind").isin("replace", "remove")).groupBy(F.col("project_id").alias("_ended")).agg(F.max("number").alias("_from"))
+        try:
+            data = self.spark.read.schema(f"{TABLES[table]}, commit string").parquet(f"{self.path}/data/{table}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            data = None
+        rows = None
+        if data is not None:
+            known = entries.filter("commit is not null").select("commit", F.col("number").alias("_number"), F.col("at").alias("_at"))
+            rows = data.join(known, "commit")
         if table in EVENTS:
+            if rows is not None:
+                rows = rows.withColumn("at", F.coalesce("at", "_at")).withColumn("number", F.col("_number")).select(*names, "_number")
             row = [F.col(f.name) if f.name in ("at", "number") else F.col("project_id") if f.name == "project_id" else F.col("row")[f.name].cast(f.dataType).alias(f.name) for f in schema]
-            rows = entries.filter("kind = 'event'").select(*row, F.col("number").alias("_number"))
-        else:
-            try:
-                data = self.spark.read.schema(f"{TABLES[table]}, commit string").parquet(f"{self.path}/data/{table}")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                return self.spark.createDataFrame([], schema)
-            known = entries.filter("commit is not null").select("commit", F.col("number").alias("_number"))
-            rows = data.join(known, "commit")
+            events = entries.filter("kind = 'event'").select(*row, F.col("number").alias("_number")).select(*names, "_number")
+            rows = events if rows is None else rows.unionByName(events)
+        if rows is None:
+            return self.spark.createDataFrame([], schema)
         kept = rows.join(ends, rows.project_id == F.col("_ended"), "left").filter("_from is null or _number >= _from")
         return kept.select(*names)
 
     def append(self, table: str, rows: DataFrame, once: tuple[str, int] | None = None, kind: str = "add", project_id: str | None = None) -> None:
-        """Adds rows to a table of data; once: a source and the number of its batch, which is added one time alone."""
+        """Adds rows to a table; once: a source and the number of its batch, which is added one time alone.
+
+        Rows of a table of events all get the commit's number, and its time where they have none."""
         if table in EVENTS:
-            raise ValueError(f"{table} is a table of events")
+            rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("at", "timestamp"), ("number", "long")) if c not in rows.columns})
         if once and self.logs[table].has(once):
             return
         names = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema]
