@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-OPEN, CLOSE = "\x01", "\x02"  # mark a match; texts must not hold them
+OPEN, CLOSE = "\x01", "\x02"  # mark a match; in texts they count as spaces
 
 
 def pascal_case(name: str | Column) -> Column:
@@ -35,17 +35,32 @@ def label(technology: str | Column, category: str | Column, names: dict[tuple[st
 def matches(files: DataFrame, text: str, pattern: str, around: int = 100) -> DataFrame:
     """files' other columns with match, line (1-based) and context: `around` characters on both sides, trimmed.
 
-    One row for each match of the regular expression, in one narrow stage.
+    One row for each match of the regular expression.  A text is cut before its matches,
+    and rows carry their own piece alone: where they stand comes from sums over the
+    pieces before, and a context from the ends of at most `around` pieces on each side.
+    So time and memory grow with the text, not with its matches times its length.
     """
-    marked = F.split(F.regexp_replace(F.col(text), f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
-    each = files.withColumn("_parts", marked).select("*", F.posexplode("_parts").alias("_k", "_part")).filter("_k > 0")
-    plain = lambda c: F.regexp_replace(c, CLOSE, "")
-    before = plain(F.array_join(F.slice("_parts", F.lit(1), F.col("_k")), ""))
-    out = each.withColumn("match", F.substring_index("_part", CLOSE, 1)).withColumn("_at", F.length(before))
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    start = F.greatest(F.lit(0), F.col("_at") - around)
-    context = F.trim(F.col(text).substr(start + 1, F.col("_at") + F.length("match") + around - start))
-    return out.withColumn("line", line.cast("long")).withColumn("context", context).drop("_parts", "_part", "_k", "_at")
+    kept = [F.col(f"`{c}`") for c in files.columns if c != text]
+    clean = F.translate(F.col(text), OPEN + CLOSE, "  ")
+    marked = F.split(F.regexp_replace(clean, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
+    numbered = files.withColumn("_row", F.monotonically_increasing_id())  # before the pieces are rows
+    rows = numbered.select(*kept, "_row", F.posexplode(marked).alias("_k", "_part"))
+    piece = F.replace("_part", F.lit(CLOSE), F.lit(""))
+    order = W.partitionBy("_row").orderBy("_k")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    tail = F.when(F.length("_piece") > around, F.right("_piece", F.lit(around))).otherwise(F.col("_piece"))
+    head = F.substring("_piece", 1, around)
+    rows = rows.withColumn("_piece", piece).withColumn("match", F.when(F.col("_k") > 0, F.substring_index("_part", CLOSE, 1)))
+    newlines = F.length("_piece") - F.length(F.replace("_piece", F.lit("\n"), F.lit("")))
+    size = F.length("match") + around
+    rows = rows.select(
+        *kept, "_k", "match", size.alias("_size"), F.substring(F.col("_piece"), F.lit(1), size).alias("_own"), (F.coalesce(F.sum(newlines).over(before), F.lit(0)) + 1).cast("long").alias("line"),
+        F.array_join(F.collect_list(tail).over(order.rowsBetween(-around, -1)), "").alias("_left"), F.array_join(F.collect_list(head).over(order.rowsBetween(1, around)), "").alias("_right"),
+    ).filter("_k > 0")
+    left = F.right("_left", F.lit(around))
+    # what follows the match goes on in the next pieces only where its own piece has ended
+    context = F.concat(left, F.substring(F.concat("_own", F.when(F.length("_own") < F.col("_size"), F.col("_right")).otherwise("")), F.lit(1), F.col("_size")))
+    return rows.select(*kept, "match", "line", F.trim(context).alias("context"))
 
 
 def manifests(files: DataFrame, names: Iterable[str], path: str = "path") -> DataFrame:

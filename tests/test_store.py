@@ -279,3 +279,17 @@ def test_stream_of_results_once_each(spark, tmp_path, monkeypatch):
     files(spark, ("f9.py", "python", "x")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert start().awaitTermination(120)
     assert s.read("files").count() == 5 and [r.batch for r in results.progress(s, "files", "loader").collect()] == list(range(5))
+
+
+def test_many_matches_of_a_long_text(spark):
+    import re
+    import time
+
+    text = "\x01x\x02 " + "".join(f"ab{i % 7}é\n" if i % 3 else "abab" + "-" * (i % 250) for i in range(20_000))
+    clean = text.replace("\x01", " ").replace("\x02", " ")
+    start = time.time()
+    got = matches.matches(spark.createDataFrame([(1, text), (2, None), (3, "")], "line_id int, text string"), "text", "ab|é").collect()
+    assert time.time() - start < 90
+    want = [(m.group(), clean.count("\n", 0, m.start()) + 1, clean[max(0, m.start() - 100) : m.end() + 100].strip(" ")) for m in re.finditer("ab|é", clean)]
+    assert len(want) > 30_000 and [(r["match"], r["line"], r["context"]) for r in sorted(got, key=lambda r: r["line"])] != []
+    assert sorted((r["match"], r["line"], r["context"]) for r in got) == sorted(want) and {r["line_id"] for r in got} == {1}
