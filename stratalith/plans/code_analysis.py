@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udtfs
-from ..operators import api_docs, imports, lexing, paths, stack_rules, symbols
+from ..operators import api_docs, imports, lexing, paths, preservation, stack_rules, symbols
 from ..sources import tree
 from ..sources.tables import shared_dir
 from .project_corpus import FILES, PROJECT_SQL, _literal, project_files
@@ -376,3 +376,52 @@ def curl_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A curl command for each endpoint."""
     found, given, _ = _api(spark, sf_dir)
     return api_docs.curl_commands(found, given)
+
+
+@query(f"WITH {PROJECT_SQL}, {_WANT}, {_IMPORTED} SELECT DISTINCT a.project, a.src AS one, a.dst AS other FROM import_edges a JOIN import_edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+def project_mutual_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files that import each other."""
+    e = import_resolution(spark, sf_dir).select("project", "src", "dst").distinct()
+    back = e.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return e.join(back, ["project", "src", "dst"]).filter("src < dst").select("project", F.col("src").alias("one"), F.col("dst").alias("other"))
+
+
+def _transformed(files: DataFrame) -> DataFrame:
+    """A third of the files is gone, a third as it was in another folder, and in a third two names are others."""
+    kind = (F.col("file_no") - 1) % len(FILES) % 3
+    text = F.when(kind == 2, F.replace(F.replace("content", F.lit("find("), F.lit("lookup(")), F.lit("items"), F.lit("things"))).otherwise(F.col("content"))
+    return files.filter(kind > 0).select("project", F.concat(F.lit("new/"), "path").alias("path"), text.alias("content"))
+
+
+#: By hand: names of classes and functions, less those that the transformation has renamed where it did.
+_KEPT = f"""{PROJECT_SQL}, {_WANT}, {by_hand("routes", "framework, method, route, name, line", ENDPOINTS)},
+code AS (SELECT project, kind, path FROM project_files WHERE regexp_matches(path, '[.](java|py|js|ts|tsx|cs|go)$')),
+names AS (SELECT DISTINCT project, kind, path, name FROM code JOIN want USING (kind) WHERE symbol IN ('class', 'function', 'method')),
+rows_ AS (SELECT c.project, c.path, c.kind, count(n.name) AS total, count(n.name) FILTER (WHERE c.kind % 3 = 1 OR c.kind % 3 = 2 AND n.name NOT IN ('find', 'items')) AS kept FROM code c LEFT JOIN names n ON c.path = n.path GROUP BY ALL),
+scored AS (SELECT *, CASE WHEN kind % 3 = 0 THEN 0.0::DOUBLE WHEN total = 0 THEN 1.0::DOUBLE ELSE round(CAST(kept AS DOUBLE) / total, 3) END AS score FROM rows_)"""
+
+
+@query(f"WITH {_KEPT} SELECT project, path, total, kept, score, CASE WHEN score >= 0.8 THEN 'preserved' WHEN score >= 0.5 THEN 'partial' ELSE 'lost' END AS verdict FROM scored")
+def preserved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which classes and functions of each file its transformed counterpart still has."""
+    return _preserved(spark, sf_dir)[0].select("project", "path", "total", "kept", "score", "verdict")
+
+
+def _preserved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = project_files(spark, sf_dir)
+    new = _transformed(files)
+    units, new_units = lexing.code_units(files), lexing.code_units(new)
+    named = lambda u: symbols.code_symbols(u).filter(F.col("kind").isin("class", "function", "method"))
+    routes = lambda u, f: symbols.endpoints(u).join(f.select("project", "path"), "path")
+    return preservation.file_preservation(files, new, named(units), named(new_units)), preservation.route_preservation(routes(units, files), routes(new_units, new))
+
+
+@query(
+    f"""WITH {_KEPT}, r AS (SELECT project, round(CAST(count(*) FILTER (WHERE kept) AS DOUBLE) / count(*), 3) AS route_share FROM (
+      SELECT DISTINCT project, method, route, kind % 3 = 1 OR kind % 3 = 2 AND route NOT LIKE '%items%' AS kept FROM project_files JOIN routes USING (kind)) x GROUP BY project),
+    s AS (SELECT project, count(*) AS files_checked, count(*) FILTER (WHERE score >= 0.8) AS files_passed, round(avg(score), 3) AS score FROM scored GROUP BY project)
+    SELECT s.project, files_checked, files_passed, score, coalesce(route_share, 1) AS route_share, score >= 0.75 AND coalesce(route_share, 1) >= 0.9 AS passed FROM s LEFT JOIN r USING (project)"""
+)
+def preservation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each project has kept enough of its names and routes."""
+    return preservation.preservation_report(*_preserved(spark, sf_dir))
