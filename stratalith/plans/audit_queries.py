@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, lexing, symbols
+from ..operators.graphs import _cut
 from ..sources.store import ProjectStore
 from ..sources.tables import shared_dir
 from .code_analysis import _WANT, ENDPOINTS, by_hand
@@ -16,16 +17,16 @@ from .registry import query
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Projects, results, files, components and validations; results go through a store, where newer ones replace stale ones."""
     files = project_files(spark, sf_dir).withColumn("project_id", F.concat(F.lit("p"), F.col("project").cast("string")))
-    units = lexing.code_units(files)
+    units = _cut(lexing.code_units(files))
     named = symbols.code_symbols(units).groupBy("path").agg(F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind").isin("function", "method")).alias("functions"))
     k = F.col("project") % 7
     rows = files.join(named, "path", "left").select(
         "project_id", "path", "content", F.when(F.col("path").endswith("OrderService.java"), F.lit(501)).otherwise(F.size(F.split("content", "\n"))).cast("long").alias("loc"),
         F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("functions", F.lit(0)).alias("functions"), F.when(F.col("path").endswith(".md"), k).otherwise(F.lit(0)).alias("errors"),
     )
-    projects = files.select("project_id", "project").distinct()
+    each = _cut(files.groupBy("project_id", "project").agg(F.count("*").alias("n")))  # read for each kind of result
+    projects = each.select("project_id", "project")
     p = F.col("project")
-    each = projects.join(files.groupBy("project_id").agg(F.count("*").alias("n")), "project_id")
     apis = symbols.endpoints(units).join(files.select("project_id", "path"), "path").groupBy("project_id").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("route").alias("path"), "method", F.col("path").alias("file"))).alias("apis"))).alias("data"))
     item = lambda status, n: F.struct(F.lit(status).alias("status"), F.lit(n).alias("file_count"))
     script = lambda n: F.struct(F.repeat(F.lit("x"), F.lit(n)).alias("content"))

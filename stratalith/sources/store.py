@@ -2,7 +2,9 @@
 
 Nothing is updated in place.  Statuses, results and runs are events in the log itself,
 and a view takes the latest of each key; files and vectors are written to a folder of
-their commit.  A commit may replace or remove a project's rows in a table: then those
+their commit.  Commits of one project have a folder for it, so it can go from disk at once;
+those of many projects have files of many (folders would be as many as projects), and
+the few files that hold a project which goes are written anew without it.  A commit may replace or remove a project's rows in a table: then those
 of earlier commits are gone.  Writers need no lock, and a crash leaves nothing half done
 (see commits.py).  An event's number is its commit's, so later events have greater ones.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import Window as W
 from ..operators.matches import first_by_priority
 from .commits import CommitLog
 
-#: Tables of events, which are in the log, and tables of data, which are partitioned by project_id.
+#: Tables of events, which are in the log, and tables of data, of which a project's rows can go from disk.
 EVENTS = ("projects", "results", "runs")
 #: Tables and their columns.
 TABLES = {
@@ -64,16 +66,7 @@ class ProjectStore:
         schema = self.spark.createDataFrame([], TABLES[table]).schema
         names = [f.name for f in schema]
         ends = entries.filter(F.col("kind").isin("replace", "remove")).groupBy(F.col("project_id").alias("_ended")).agg(F.max("number").alias("_from"))
-        try:
-            data = self.spark.read.schema(f"{TABLES[table]}, commit string").parquet(f"{self.path}/data/{table}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            data = None
-        rows = None
-        if data is not None:
-            known = entries.filter("commit is not null").select("commit", F.col("number").alias("_number"), F.col("at").alias("_at"))
-            rows = data.join(known, "commit")
+        rows = self._data(table, entries)
         if table in EVENTS:
             if rows is not None:
                 rows = rows.withColumn("at", F.coalesce("at", "_at")).withColumn("number", F.col("_number")).select(*names, "_number")
@@ -85,8 +78,34 @@ class ProjectStore:
         kept = rows.join(ends, rows.project_id == F.col("_ended"), "left").filter("_from is null or _number >= _from")
         return kept.select(*names)
 
+    def _parquet(self, place: str, table: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(f"{TABLES[table]}, commit string").parquet(f"{self.path}/{place}/{table}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def _bulk(self, table: str, entries: DataFrame) -> DataFrame | None:
+        """Rows of commits of many projects, with the file of each; without files that were written anew."""
+        data = self._parquet("bulk", table)
+        if data is None:
+            return None
+        file = F.concat_ws("/", "commit", F.col("_metadata.file_name"))
+        return data.withColumn("_file", file).join(entries.filter("kind = 'rewrite'").select(F.col("row")["file"].alias("_file")), "_file", "left_anti")
+
+    def _data(self, table: str, entries: DataFrame) -> DataFrame | None:
+        """Rows that commits have added, with their number and time; those written anew keep the number that they had."""
+        bulk = self._bulk(table, entries)
+        parts = [p for p in (self._parquet("data", table), bulk and bulk.drop("_file")) if p is not None]
+        if not parts:
+            return None
+        number = F.coalesce(F.col("row")["number"].cast("long"), F.col("number"))
+        known = entries.filter("commit is not null").select("commit", number.alias("_number"), F.col("at").alias("_at"))
+        return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).join(known, "commit")
+
     def append(self, table: str, rows: DataFrame, once: tuple[str, int] | None = None, kind: str = "add", project_id: str | None = None) -> None:
-        """Adds rows to a table; once: a source and the number of its batch, which is added one time alone.
+        """Adds rows to a table, of one project or, if it isn't named, of any number; once: a source and the number of its batch, which is added one time alone.
 
         Rows of a table of events all get the commit's number, and its time where they have none."""
         if table in EVENTS:
@@ -95,7 +114,13 @@ class ProjectStore:
             return
         names = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema]
         commit = uuid.uuid4().hex
-        rows.select(*names).write.partitionBy("project_id").parquet(f"{self.path}/data/{table}/commit={commit}")
+        rows = rows.select(*names)
+        if table in EVENTS or project_id is None:
+            # a project's rows come to lie in one file, or a few
+            rows = rows if table in EVENTS else rows.hint("rebalance", "project_id")
+            rows.write.parquet(f"{self.path}/bulk/{table}/commit={commit}")
+        else:
+            rows.write.partitionBy("project_id").parquet(f"{self.path}/data/{table}/commit={commit}")
         self.logs[table].commit(kind, project_id, commit, once=once)
 
     def _event(self, table: str, project_id: str, **values) -> None:
@@ -134,8 +159,31 @@ class ProjectStore:
                 fs = top.getFileSystem(conf)
                 for commit in fs.listStatus(top) if fs.exists(top) else []:
                     fs.delete(jvm.org.apache.hadoop.fs.Path(commit.getPath(), f"project_id={folder}"), True)
+                self._write_without(table, project_id)
         self._event("projects", project_id, status="deleted")
 
+    def _write_without(self, table: str, project_id: str) -> None:
+        """Files of many projects that hold this one are written anew without it, and go once the log says so.
+
+        Of two writers of one file the first counts, and the other begins again with what is then there."""
+        log, top, path = self.logs[table], f"{self.path}/bulk/{table}", self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(top).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        while True:
+            entries = log.entries()
+            bulk = self._bulk(table, entries)
+            own = bulk and bulk.filter(F.col("project_id") == project_id).select("commit", "_file").distinct()
+            number = F.coalesce(F.col("row")["number"].cast("long"), F.col("number"))
+            held = own.join(entries.select("commit", number.alias("n")), "commit").collect() if bulk else []  # one file, or a few
+            if not held:
+                return
+            for r in held:
+                new, file = uuid.uuid4().hex, f"{top}/commit={r['_file']}"
+                rest = self.spark.read.schema(TABLES[table]).parquet(file).filter(~F.col("project_id").eqNullSafe(project_id))
+                rest.coalesce(1).write.parquet(f"{top}/commit={new}")
+                log.commit("rewrite", None, new, row={"file": r["_file"], "number": r["n"]}, once=(f"rewrite {r['_file']}", 0))
+                lost = log.entries().filter(F.col("commit") == new).isEmpty()
+                fs.delete(path(f"{top}/commit={new}" if lost else file), True)
+
     def compact(self) -> None:
         """Keeps the logs short."""
         for log in self.logs.values():
@@ -168,10 +216,10 @@ class ProjectStore:
 
     # files
     def put_files(self, project_id: str, files: DataFrame) -> None:
-        self.append("files", hashed(files).withColumn("project_id", F.lit(project_id)))
+        self.append("files", hashed(files).withColumn("project_id", F.lit(project_id)), project_id=project_id)
 
     def put_context(self, project_id: str, elements: DataFrame) -> None:
-        self.append("context", elements.withColumn("project_id", F.lit(project_id)))
+        self.append("context", elements.withColumn("project_id", F.lit(project_id)), project_id=project_id)
 
     def replace_transformed(self, project_id: str, files: DataFrame) -> None:
         """The project's transformed files become these."""

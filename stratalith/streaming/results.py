@@ -22,7 +22,7 @@ def store_each(stream: DataFrame, store: ProjectStore, project_id: str, table: s
     name = source or checkpoint
 
     def save(batch: DataFrame, number: int) -> None:
-        store.append(table, transform(batch).withColumn("project_id", F.lit(project_id)), once=(name, number))
+        store.append(table, transform(batch).withColumn("project_id", F.lit(project_id)), once=(name, number), project_id=project_id)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

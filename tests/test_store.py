@@ -293,3 +293,37 @@ def test_many_matches_of_a_long_text(spark):
     want = [(m.group(), clean.count("\n", 0, m.start()) + 1, clean[max(0, m.start() - 100) : m.end() + 100].strip(" ")) for m in re.finditer("ab|é", clean)]
     assert len(want) > 30_000 and [(r["match"], r["line"], r["context"]) for r in sorted(got, key=lambda r: r["line"])] != []
     assert sorted((r["match"], r["line"], r["context"]) for r in got) == sorted(want) and {r["line_id"] for r in got} == {1}
+
+
+def test_commits_of_many_projects(spark, tmp_path):
+    s = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    many = spark.range(300).selectExpr("concat('p', id) AS project_id", "'a.py' AS path", "'x' AS language", "cast(id AS string) AS content")
+    s.append("files", store.hashed(many))
+    s.append("results", many.selectExpr("project_id", "'api' AS result_type", "content AS data"))
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) < 20  # not a file for each project
+    for p in ("p7", "p8"):
+        s.delete_project(p)
+    assert s.results().count() == 298
+    on_disk = spark.read.option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/store/bulk/files")
+    assert sorted(int(r.content) for r in on_disk.collect()) == [k for k in range(300) if k not in (7, 8)]  # gone from disk, the rest once
+    s.append("files", store.hashed(many.filter("project_id = 'p7'")))
+    s.compact()
+    assert sorted(int(r.content) for r in s.read("files").collect()) == [k for k in range(300) if k != 8]
+
+
+def test_two_deletions_from_one_file(spark, tmp_path):
+    s = store.ProjectStore(spark, f"file://{tmp_path}/store")
+    s.append("files", store.hashed(spark.range(9).selectExpr("concat('p', id) AS project_id", "'a.py' AS path", "'x' AS language", "cast(id AS string) AS content").coalesce(1)))
+    real, other = s.logs["files"].commit, []
+
+    def late(kind, *a, **b):
+        if kind == "rewrite" and not other:  # another writer comes first
+            other.append(1)
+            store.ProjectStore(spark, s.path).delete_project("p2")
+        return real(kind, *a, **b)
+
+    s.logs["files"].commit = late
+    s.delete_project("p1")
+    assert sorted(r.project_id for r in s.read("files").collect()) == ["p0", "p3", "p4", "p5", "p6", "p7", "p8"]
+    on_disk = spark.read.option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/store/bulk/files")
+    assert sorted(r.project_id for r in on_disk.collect()) == ["p0", "p3", "p4", "p5", "p6", "p7", "p8"]
