@@ -50,4 +50,4 @@ sql_query("pattern_confidence", "SELECT user_id, round(0.4 * least(CAST(1 AS DOU
 sql_query("small_chunk_merge", """SELECT doc_id, min(part) AS first_part, count(*) AS parts, CAST(sum(size) AS BIGINT) AS size FROM (SELECT doc_id, part, size, part - CASE WHEN size < 500 AND run % 2 = 0 AND run > 0 THEN 1 ELSE 0 END AS home FROM (
 SELECT doc_id, part, size, CASE WHEN size < 500 THEN row_number() OVER (PARTITION BY doc_id, brk ORDER BY part) ELSE 0 END AS run FROM (
 SELECT doc_id, part, size, sum(CASE WHEN size < 500 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 2 + CASE WHEN size < 500 THEN 0 ELSE 1 END AS brk FROM (
-SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS part, CAST(l_quantity * 20 AS BIGINT) AS size FROM lineitem) a) b) c) d GROUP BY doc_id, home""")
+SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS part, CAST(l_quantity * 20 AS BIGINT) AS size FROM lineitem) a) b) c) d GROUP BY doc_id, home""", {"lineitem": "l_orderkey"})
