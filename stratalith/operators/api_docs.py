@@ -69,13 +69,18 @@ def parameters_of(endpoints: DataFrame) -> DataFrame:
 def models_of(units: DataFrame) -> DataFrame:
     """(path, model, ordinal, name, type): fields of classes that aren't controllers, services or repositories."""
     class_name = F.regexp_extract("head", r"\bclass (\w+)", 1)
-    classes = units.filter((class_name != "") & ~F.lower(class_name).rlike("controller|service|repository")).select("path", F.col("unit").alias("parent"), class_name.alias("model"))
     java, other = r"^(?:@\w+(?:\([^)]*\))? )*(?:private|public|protected) (?:final |static )?([\w.]+(?:<.*?>)?(?:\[\])?\??) (\w+)(?: ?=.*)?$", r"^(\w+)\?? ?: ?([\w\[\]<>.|, ]+?)(?: ?=.*)?$"
     braced = F.col("language").isin("Java", "C#")
     name = F.when(braced, F.regexp_extract("head", java, 2)).otherwise(F.regexp_extract("head", other, 1))
     kind = F.when(braced, F.regexp_extract("head", java, 1)).otherwise(F.regexp_extract("head", other, 2))
-    fields = units.filter((F.col("kind") == "statement") | braced).select("path", "parent", F.col("unit").alias("ordinal"), name.alias("name"), kind.alias("type")).filter("name <> ''")
-    return fields.join(classes, ["path", "parent"]).select("path", "model", "ordinal", "name", "type")
+    # classes and fields in one pass, since units cost a scan; scope: the class's unit
+    none = F.lit(None).cast("string")
+    row = lambda scope, model, name, type_: F.struct(F.col(scope).alias("scope"), model.alias("model"), name.alias("name"), type_.alias("type"))
+    model = F.when((class_name != "") & ~F.lower(class_name).rlike("controller|service|repository"), row("unit", class_name, none, none))
+    field = F.when(F.col("parent").isNotNull() & ((F.col("kind") == "statement") | braced) & (name != ""), row("parent", none, name, kind))
+    each = units.select("path", F.col("unit").alias("ordinal"), F.explode(F.array_compact(F.array(model, field))).alias("x")).select("path", "ordinal", "x.*")
+    own = each.withColumn("model", F.max("model").over(W.partitionBy("path", "scope")))
+    return own.filter("name is not null and model is not null").select("path", "model", "ordinal", "name", "type")
 
 
 def _with_parameters(endpoints: DataFrame, parameters: DataFrame) -> DataFrame:
