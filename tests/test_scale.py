@@ -2,7 +2,7 @@
 
 import pytest
 
-from stratalith.operators import api_docs, lexing, symbols
+from stratalith.operators import api_docs, imports, lexing, symbols
 from stratalith.plans import code_analysis
 from stratalith.plans.project_corpus import project_files
 from stratalith.sources.tables import dealt
@@ -56,3 +56,20 @@ private int three;
     routes = {(r.path, r.method, r.route, r.function) for r in symbols.endpoints(units).collect()}
     assert routes == {(p, *x) for p in ("A.java", "B.java") for x in [("GET", "/a/x", "x"), ("POST", "/b", "y"), ("GET", "/z", "z")]}
     assert {(r.path, r.model, r.name, r.type) for r in api_docs.models_of(units).collect()} == {(p, *x) for p in ("A.java", "B.java") for x in [("A", "one", "String"), ("B", "two", "long")]}
+
+
+def test_imports_are_resolved_by_hashes_of_numbers(spark):
+    plan = code_analysis.import_resolution(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "api_route" not in plan and "express_route" not in plan
+
+
+def test_first_file_of_equal_and_missing_numbers(spark):
+    files = spark.createDataFrame([(1, 5, "b/x.py"), (1, 5, "a/x.py"), (1, None, "A/x.py"), (1, 6, "m.py"), (2, None, "x.py")], "project long, file_no long, path string")
+    asked = spark.createDataFrame([(1, "m.py", "x"), (2, "n.py", "x")], "project long, path string, name string")
+    assert [tuple(r) for r in imports.resolved(files, asked).collect()] == [(1, "m.py", "a/x.py", "x")]
+
+
+def test_symbols_of_some_kinds(spark):
+    units = lexing.code_units(spark.createDataFrame([("a.py", "import os\nclass A:\n    pass\n"), ("b.cbl", "       PROGRAM-ID. B.\n")], "path string, content string"))
+    assert [(r.path, r.kind, r.name) for r in symbols.code_symbols(units, "import").collect()] == [("a.py", "import", "os")]
+    assert symbols.code_symbols(units, "none").collect() == []
