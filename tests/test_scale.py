@@ -73,3 +73,11 @@ def test_symbols_of_some_kinds(spark):
     units = lexing.code_units(spark.createDataFrame([("a.py", "import os\nclass A:\n    pass\n"), ("b.cbl", "       PROGRAM-ID. B.\n")], "path string, content string"))
     assert [(r.path, r.kind, r.name) for r in symbols.code_symbols(units, "import").collect()] == [("a.py", "import", "os")]
     assert symbols.code_symbols(units, "none").collect() == []
+
+
+def test_anti_patterns_are_found_in_one_scan(spark):
+    text = "def f():\n    global a, b\n    return 1\nif x:\n    pass\n    pass\nglobal c\n"
+    units = lexing.code_units(spark.createDataFrame([("a.py", text)], "path string, content string"))
+    found = symbols.anti_patterns(units, most=2)
+    assert scans(found) == 1
+    assert sorted(map(tuple, found.collect())) == [("a.py", "global variable", "b", 2), ("a.py", "global variable", "c", 7), ("a.py", "long method", "f", 1)]
