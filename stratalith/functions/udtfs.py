@@ -5,7 +5,8 @@
     SELECT f.path, d.* FROM files f, LATERAL ddl_columns(f.content) d
     SELECT * FROM chunks(TABLE(lines) PARTITION BY path ORDER BY n, size => 50)
 
-The first two take one text at a time.  The third takes all rows of a partition, in order,
+The first two take one text at a time, and give the same rows for the same text, so that
+conditions on the files' own columns hold before texts are read.  The third takes all rows of a partition, in order,
 and holds no more of them than a chunk has; which columns it has depends on the call.
 """
 
@@ -111,5 +112,5 @@ class Chunks:
 
 
 def register(spark: SparkSession) -> None:
-    for name, f in (("code_units", CodeUnits), ("ddl_columns", DdlColumns), ("chunks", Chunks)):
+    for name, f in (("code_units", CodeUnits.asDeterministic()), ("ddl_columns", DdlColumns.asDeterministic()), ("chunks", Chunks)):
         spark.udtf.register(name, f)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from stratalith.functions import udtfs
 from stratalith.operators import api_docs, imports, lexing, symbols
 from stratalith.plans import code_analysis
 from stratalith.plans.project_corpus import project_files
@@ -81,3 +82,11 @@ def test_anti_patterns_are_found_in_one_scan(spark):
     found = symbols.anti_patterns(units, most=2)
     assert scans(found) == 1
     assert sorted(map(tuple, found.collect())) == [("a.py", "global variable", "b", 2), ("a.py", "global variable", "c", 7), ("a.py", "long method", "f", 1)]
+
+
+@pytest.mark.parametrize("call", ["code_units(f.path, f.content)", "ddl_columns(f.content)"])
+def test_table_functions_read_the_files_that_are_asked_for(spark, call):
+    udtfs.register(spark)
+    spark.range(9).selectExpr("concat(id, '.sql') AS path", "string(id) AS content").createOrReplaceTempView("asked_files")
+    plan = spark.sql(f"SELECT f.path, u.* FROM asked_files f, LATERAL {call} u WHERE f.path LIKE '%7.sql'")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("PythonUDTF") < plan.find("Filter")
