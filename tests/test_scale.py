@@ -90,3 +90,17 @@ def test_table_functions_read_the_files_that_are_asked_for(spark, call):
     spark.range(9).selectExpr("concat(id, '.sql') AS path", "string(id) AS content").createOrReplaceTempView("asked_files")
     plan = spark.sql(f"SELECT f.path, u.* FROM asked_files f, LATERAL {call} u WHERE f.path LIKE '%7.sql'")._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("PythonUDTF") < plan.find("Filter")
+
+
+def test_names_of_all_kinds_take_one_lambda(spark):
+    text = "@app.route('/a')\n@b\ndef f():\n    execute('select 1')\n    execute(x)\n    execute('')\n"
+    units = lexing.code_units(spark.createDataFrame([("a.py", text), ("b.cbl", "       CALL 'X'.\n")], "path string, content string"))
+    found = symbols.code_symbols(units)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") == 1
+    want = [("decorator", "app"), ("decorator", "b"), ("flask_route", "/a"), ("function", "f"), ("sql_query", "select 1"), ("call", "X")]
+    assert sorted((r.kind, r.name) for r in found.collect()) == sorted(want)
+
+
+def test_words_of_python_are_one_token():
+    tokens = [m[0] for m in lexing._INDENTED.finditer("for buffer in fub'r' + rb'u' + x:\n")]
+    assert tokens == ["for buffer in f", "ub'r'", " + ", "rb'u'", " + x:", "\n"]
